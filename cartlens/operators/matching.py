@@ -14,7 +14,8 @@ rows per score, whatever share of the data holds that score.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.operators.ordered import running_totals
@@ -35,27 +36,30 @@ def _side(rows: DataFrame, wanted: Column, id_col: str, score: str, k: int) -> D
 def match_candidates(
     rows: DataFrame, id_col: str, treated: str, score: str, caliper: float, k: int = 10
 ) -> DataFrame:
-    """(t_id, wishes): up to ``k`` controls per treated row within the caliper, nearest first.
+    """(t_id, place, c_ids, gaps): up to ``k`` controls per treated row within the caliper, nearest first.
 
     Treated and controls share one global order by score. A running count of controls gives each
     control its rank and each treated row the number ``c`` of controls below it. With at most ``k``
     controls per score, the ``k`` nearest lie among the ranks c-2k+2 .. c+k. Treated rows with the
-    same ``c`` share that neighbourhood, so it is built once per different ``c``.
+    same ``c`` share that neighbourhood, so it is built once per different ``c``. ``place`` numbers
+    the treated rows in score order.
     """
     flagged = F.col(treated) == 1
-    treated_rows = _side(rows, flagged, id_col, score, k).withColumn("is_control", F.lit(0))
-    control_rows = _side(rows, ~flagged, id_col, score, k).withColumn("is_control", F.lit(1))
+    side = lambda rows_, control: rows_.withColumns(
+        {"is_control": F.lit(control), "is_treated": F.lit(1 - control)}
+    )
+    both = side(_side(rows, flagged, id_col, score, k), 0).unionByName(
+        side(_side(rows, ~flagged, id_col, score, k), 1)
+    )
     line = written(
-        running_totals(
-            treated_rows.unionByName(control_rows), ["score", "is_control", "id"], {"below": "is_control"}
-        ),
+        running_totals(both, ["score", "is_control", "id"], {"below": "is_control", "place": "is_treated"}),
         "match-line",
     )
     controls = line.filter(F.col("is_control") == 1).select(
         F.col("below").alias("c_rank"), F.struct(F.col("id").alias("c_id"), F.col("score").alias("c_score")).alias("c")
     )
     asking = line.filter(F.col("is_control") == 0).select(
-        F.col("id").alias("t_id"), F.col("score").alias("t_score"), "below"
+        F.col("id").alias("t_id"), F.col("score").alias("t_score"), "below", "place"
     )
     spots = asking.select("below").distinct().withColumn(
         "c_rank", F.explode(F.sequence(F.col("below") - (2 * k - 2), F.col("below") + k))
@@ -70,33 +74,57 @@ def match_candidates(
     )
     return (
         asking.join(near, "below")
-        .select("t_id", F.slice(F.array_sort(within), 1, k).alias("wishes"))
+        .select("t_id", "place", F.slice(F.array_sort(within), 1, k).alias("wishes"))
         .filter(F.size("wishes") > 0)
+        .select("t_id", "place", F.col("wishes.c_id").alias("c_ids"), F.col("wishes.gap").alias("gaps"))
     )
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
-    """Deferred acceptance over (t_id, wishes); gives (t_id, c_id, gap).
+def _take_turns(block: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one block ask in id order, each from its present wish on; a control says yes once."""
+    block = block.sort_values("t_id")
+    given, turns = set(), []
+    for wishes, turn in zip(block["c_ids"], block["turn"]):
+        while turn <= len(wishes) and wishes[turn - 1] in given:
+            turn += 1
+        if turn <= len(wishes):
+            given.add(wishes[turn - 1])
+        turns.append(turn)
+    return block.assign(turn=turns)
+
 
-    Each round is one aggregation and one join on the asked control, written before the next. Rows
-    that ran out of wishes leave the table. The number of refusals comes with the write itself.
+def resolve(candidates: DataFrame, block_rows: int = 8192) -> DataFrame:
+    """Deferred acceptance over (t_id, place, c_ids, gaps); gives (t_id, c_id, gap).
+
+    The order in which rows ask does not change the result, so a round first lets blocks of
+    neighbouring treated rows settle among themselves (a block holds at most ``block_rows``), and then
+    settles between blocks: one aggregation and one join on the asked control. Only rows near a block
+    border can still collide there, and every other round moves the borders by half a block. Each
+    round is written before the next; it is over when no row left was just refused.
     """
-    ask = F.element_at("wishes", F.col("turn"))
-    state = candidates.withColumn("turn", F.lit(1))
+    ask = lambda c: F.element_at(c, F.col("turn"))
+    state = written(candidates.withColumn("turn", F.lit(1)), "match-wishes")
+    shift = 0
     while True:
-        asked = state.withColumn("asked", ask["c_id"])
-        kept = asked.groupBy("asked").agg(F.min("t_id").alias("winner"))
-        told = asked.join(kept, "asked").withColumn("refused", (F.col("winner") != F.col("t_id")).cast("int"))
-        seen = Observation()
+        numbered = state.withColumn("block", F.floor((F.col("place") + shift) / block_rows))
+        settled = (
+            numbered.groupBy("block").applyInPandas(_take_turns, numbered.schema)
+            .filter(F.col("turn") <= F.size("c_ids"))
+            .select("t_id", "place", "c_ids", "gaps", "turn", ask("c_ids").alias("asked"))
+        )
+        settled = written(settled, "match-block")
+        kept = settled.groupBy("asked").agg(F.min("t_id").alias("winner"))
+        told = settled.join(kept, "asked").withColumn("refused", (F.col("winner") != F.col("t_id")).cast("int"))
         moved = (
-            told.observe(seen, F.coalesce(F.sum("refused"), F.lit(0)).alias("refusals"))
-            .withColumn("turn", F.col("turn") + F.col("refused"))
-            .filter(F.col("turn") <= F.size("wishes"))
-            .select("t_id", "wishes", "turn")
+            told.withColumn("turn", F.col("turn") + F.col("refused"))
+            .filter(F.col("turn") <= F.size("c_ids"))
+            .select("t_id", "place", "c_ids", "gaps", "turn", "refused")
         )
         state = written(moved, "match-round")
-        if seen.get["refusals"] == 0:
-            return state.select("t_id", ask["c_id"].alias("c_id"), ask["gap"].alias("gap"))
+        if state.filter(F.col("refused") == 1).isEmpty():
+            return state.select("t_id", ask("c_ids").alias("c_id"), ask("gaps").alias("gap"))
+        state = state.drop("refused")
+        shift = block_rows // 2 - shift
 
 
 def match_pairs(
