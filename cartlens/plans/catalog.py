@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartlens.plans import registry, registry_effect, registry_reports
+from cartlens.plans import registry, registry_effect, registry_models, registry_reports
 
-_MODULES = (registry, registry_reports, registry_effect)
+_MODULES = (registry, registry_reports, registry_effect, registry_models)
 
 
 def queries():
