@@ -159,7 +159,7 @@ def learners(trees: int = 200) -> list[Learner]:
     ]
 
 
-def _class_counts(train: DataFrame) -> tuple[int, int]:
+def class_counts(train: DataFrame) -> tuple[int, int]:
     row = train.agg(F.count_if(F.col(TARGET) == 0), F.count_if(F.col(TARGET) == 1)).first()
     return row[0], row[1]
 
@@ -168,7 +168,7 @@ def fit_learner(
     learner: Learner, train: DataFrame, names: Sequence[str], seed: int = 42, pos_weight: float | None = None
 ) -> PipelineModel:
     """Fits with balanced class weights; boosting weighs positives by ``pos_weight`` (negatives per positive)."""
-    neg, pos = _class_counts(train)
+    neg, pos = class_counts(train)
     n = neg + pos
     if learner.kind == "boost":
         up = pos_weight if pos_weight is not None else (neg / pos if pos else 1.0)
@@ -272,7 +272,7 @@ def ml_cv(
         number = F.coalesce(F.col(key).cast("string"), F.concat_ws(":", "parent_a", "parent_b", *names))
         rows = written(made.withColumn(key, number), "cv-rows")
     dealt = written(ml_folds(rows.select(key, TARGET, *names), folds, seed, key), "cv-folds")
-    neg, pos = _class_counts(train)
+    neg, pos = class_counts(train)
 
     def run(fold: int) -> list[tuple]:
         learn, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
@@ -285,7 +285,7 @@ def ml_cv(
         return out
 
     with ThreadPool(min(parallelism, folds)) as pool:
-        results = [row for rows_ in pool.map(inheritable_thread_target(run), range(folds)) for row in rows_]
+        results = [row for rows_ in pool.map(inheritable_thread_target(train.sparkSession)(run), range(folds)) for row in rows_]
     schema = "model string, fold int, " + ", ".join(f"{m} double" for m in METRICS)
     return train.sparkSession.createDataFrame(results, schema)
 

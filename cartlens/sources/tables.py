@@ -14,12 +14,14 @@ from cartlens.operators.clean import TIME_COLUMNS, parse_times
 from cartlens.schema import KEYS, SCHEMAS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """UTF-8 CSV with a header, quoted line breaks allowed. Columns are taken by name, not by place.
+def read_csv(spark: SparkSession, path: str, schema: StructType, multiline: bool = False) -> DataFrame:
+    """UTF-8 CSV with a header. Columns are taken by name, not by place; unreadable values become null.
 
-    A byte-order mark may stand before the first header, so that column is looked up under both names.
+    A byte-order mark may stand before the first header, so that name is cleaned before the lookup.
+    ``multiline`` allows line breaks inside quotes at the price of reading each file in one task; split
+    such a table into many files.
     """
-    header = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8", inferSchema=False)
+    header = spark.read.csv(path, header=True, multiLine=multiline, escape='"', encoding="UTF-8", inferSchema=False)
     plain = {c.lstrip("﻿").strip('"'): c for c in header.columns}
     columns = []
     for field in schema:
@@ -36,7 +38,7 @@ def read_csv_tables(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
     found = {}
     for name, path in paths.items():
         try:
-            found[name] = read_csv(spark, path, SCHEMAS[name])
+            found[name] = read_csv(spark, path, SCHEMAS[name], multiline=name == "order_reviews")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
