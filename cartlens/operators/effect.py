@@ -18,6 +18,7 @@ from cartlens.functions.scalars import flag, plain_ratio
 from cartlens.functions.tails import normal_tail
 from cartlens.operators.features import PERSON
 from cartlens.operators.ordered import bin_number
+from cartlens.session import written
 
 NUMERIC = ("total_spend", "avg_review_score")
 CODED = ("main_category", "customer_state", "main_payment_type")
@@ -27,11 +28,14 @@ MISSING = "None"
 def label_codes(df: DataFrame, column: str, missing: str = MISSING) -> DataFrame:
     """Adds ``<column>_encoded``: the place of the label in alphabetical order, from zero.
 
-    The window runs over the different labels only.
+    The window runs over the different labels only. The code table is written, so its true size
+    decides whether it is broadcast; a label held by a large share of the rows then moves no row.
     """
     text = F.coalesce(F.col(column), F.lit(missing))
     labels = df.select(text.alias("_label")).distinct()
-    codes = labels.withColumn(f"{column}_encoded", F.row_number().over(Window.orderBy("_label")) - 1)
+    codes = written(
+        labels.withColumn(f"{column}_encoded", F.row_number().over(Window.orderBy("_label")) - 1), "codes"
+    )
     return df.withColumn("_label", text).join(codes, "_label").drop("_label")
 
 

@@ -14,26 +14,27 @@ from cartlens.operators.reviews import HIGH, LOW
 HAN = "一-龥"
 
 
-def words(text: Column, stopwords: Sequence[str] = tuple(STOPWORDS)) -> Column:
+def words(text: Column) -> Column:
     """Runs of two and more Latin letters, and all neighbouring pairs inside runs of Han characters.
 
     Everything else separates words. Whole texts are read; order inside the text is not kept.
     """
     latin = F.regexp_extract_all(text, F.lit("[a-zA-Z]{2,}"), F.lit(0))
     pairs = F.regexp_extract_all(text, F.lit(f"(?=([{HAN}]{{2}}))"), F.lit(1))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(stopwords)])
-    return F.filter(F.concat(latin, pairs), lambda w: ~F.array_contains(stop, w))
+    return F.concat(latin, pairs)
 
 
-def review_tokens(rows: DataFrame, segmenter: Callable[[Column], Column] = words) -> DataFrame:
-    """(review, group, word, w): one row per word of a non-blank comment.
+def review_tokens(
+    rows: DataFrame, segmenter: Callable[[Column], Column] = words, stopwords: Sequence[str] = tuple(STOPWORDS)
+) -> DataFrame:
+    """(review, group, word, w): one row per word of a non-blank comment, without the stop words.
 
     ``segmenter`` maps a text column to an array of words; a ``pandas_udf`` may take its place.
     """
     said = rows.filter(not_blank(F.col("review_comment_message")))
     return said.select(
         "review_id", "score_group", "w", F.explode(segmenter(F.col("review_comment_message"))).alias("word")
-    )
+    ).filter((F.length("word") > 1) & ~F.col("word").isin(*dict.fromkeys(stopwords)))
 
 
 def keyword_counts(tokens: DataFrame) -> DataFrame:

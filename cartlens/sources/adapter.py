@@ -29,9 +29,12 @@ class StarSource:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.category = category
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._raw[name]
 
     def _orders(self, raw: DataFrame) -> DataFrame:
         k = F.col("o_orderkey")
