@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from cartlens.config import FRAME, SQL
 from cartlens.plans import oracle as o
 from cartlens.sources.adapter import CUTOFF, StarSource
-from cartlens.operators import churn, clean, effect, explore, features, keywords, kpi, matching, reviews, rfm
+from cartlens.operators import churn, clean, features, rfm
 from cartlens.operators.features import PERSON
 from cartlens.session import written
 
