@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.registry import query, table
+from cartlens.session import written
 
 #: Words of at least this share of all words are in the broadcast table: at most 500,000.
 SHARE = 2e-6
@@ -185,10 +186,10 @@ def frequent_words(docs: DataFrame, text: str, settings, share: float = SHARE) -
             ids = [np.array(x, "<u4").tobytes() for x in codec.encode_words(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = counts.withColumn("_all", F.lit(0)).alias("c")
-    total = counts.filter("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-    rows = words.join(F.broadcast(total), F.lit(True)).filter(f"word is not null and n >= {share!r} * s").select("word")
+    seen = written(docs.select(text).mapInArrow(count, "word string, n long"), "word_counts")
+    total = seen.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    counts = seen.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.filter(F.col("n") >= share * total).select("word")
     return [(r["word"], bytes(r["ids"])) for r in rows.mapInArrow(encode, "word string, ids binary").collect()]
 
 
