@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartlens.llm import op10_mixing, op6_quality, op7_bpe, op9_toxicity, registry
+from cartlens.llm import op10_mixing, op5_warc, op6_quality, op7_bpe, op9_toxicity, registry
 
-_MODULES = (op6_quality, op7_bpe, op9_toxicity, op10_mixing)
+_MODULES = (op5_warc, op6_quality, op7_bpe, op9_toxicity, op10_mixing)
 
 
 def queries():
