@@ -204,6 +204,8 @@ def mixed(
 
 def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
     """The mixed rows with all their columns: a document taken twice comes twice, one not taken not at all."""
+    names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
+    doc_id, text, source = (f"_in{names.index(c)}" for c in (doc_id, text, source))
     chosen, _ = mixed(docs, doc_id, text, source, **settings)
     chosen = chosen.select(
         F.col("_id").alias("_mix_id"), F.element_at("_sources", 1).alias("_mix_source"), F.col("_size").alias("_mix_size"), F.col("_copies").alias("_mix_copies")
@@ -215,7 +217,7 @@ def mix_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
         & (sized["_mix_words"] == chosen["_mix_size"])
     )
     rows = sized.join(chosen, on).withColumn("_mix_again", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies"))))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    return rows.select(*docs.columns).toDF(*names)
 
 
 @query("op10_mixing")

@@ -161,6 +161,8 @@ def listed(spans: Column) -> Column:
 
 def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, share: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
     """The rows with every span replaced by its kind in brackets; disclosing terms by a class, or by nothing."""
+    names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
+    text = f"_in{names.index(text)}"
     dirty = found_in(docs, text)
     terms = disclosing(docs, dirty, text, share, least)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
@@ -177,7 +179,7 @@ def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, shar
 
     built = F.aggregate(all_spans(), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substr(old, a["at"] + 1, F.length(old))))
     cleaned = dirty.join(terms, "_pii_row", "left").select(*[built.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return docs.filter(F.size(base_spans(old)) == 0).unionByName(cleaned)
+    return docs.filter(F.size(base_spans(old)) == 0).unionByName(cleaned).toDF(*names)
 
 
 @query("op2_pii")
