@@ -38,8 +38,10 @@ def _upper_gamma(a: float, x: float) -> float:
         c = b + an / c
         step = d * c
         h *= step
-        if abs(step - 1.0) < 1e-15 or i > 10000:
+        if abs(step - 1.0) < 1e-15:
             return front * h
+        if i > 10000:
+            return math.nan  # not settled: no value rather than a wrong one
 
 
 @F.pandas_udf(DoubleType())

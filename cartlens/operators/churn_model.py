@@ -24,19 +24,23 @@ from cartlens.session import written
 
 TARGET = "is_churned"
 _LEFT_OUT = ("id", "customer_unique", "date", "segment", "label", "cluster", "group")
+_TELL_LABEL = ("recency_days", "rfm_r_score", "customer_tenure_days", "purchase_frequency", "rfm_f_score")
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
 # --- feature table ---------------------------------------------------------------------------
 
 def ml_feature_select(df: DataFrame, features: str = "reference") -> list[str]:
-    """Columns to learn from, by name and type. ``no_leak`` also leaves out what the label is made of."""
+    """Columns to learn from, by name and type. ``no_leak`` also leaves out what the label is made of.
+
+    Tenure equals recency for a person with one order, and frequency is a function of tenure.
+    """
     kept = [
         c for c, kind in df.dtypes
         if c != TARGET and not kind.startswith(("timestamp", "date")) and not any(w in c.lower() for w in _LEFT_OUT)
     ]
     if features == "no_leak":
-        kept = [c for c in kept if c not in ("recency_days", "rfm_r_score")]
+        kept = [c for c in kept if c not in _TELL_LABEL]
     return kept
 
 

@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.fixed_values import DELAY_MEDIUM, DELAY_ON_TIME, DELAY_SEVERE, DELAY_SLIGHT
 from cartlens.functions.scalars import flag, plain_ratio
 from cartlens.functions.tails import normal_tail
 from cartlens.operators.features import PERSON
-from cartlens.operators.ordered import bin_number
+from cartlens.operators.ordered import bin_number, global_rank
 from cartlens.session import written
 
 NUMERIC = ("total_spend", "avg_review_score")
@@ -28,14 +28,13 @@ MISSING = "None"
 def label_codes(df: DataFrame, column: str, missing: str = MISSING) -> DataFrame:
     """Adds ``<column>_encoded``: the place of the label in alphabetical order, from zero.
 
-    The window runs over the different labels only. The code table is written, so its true size
-    decides whether it is broadcast; a label held by a large share of the rows then moves no row.
+    Labels are ranked in range partitions, however many there are. The code table is written, so its true
+    size decides whether it is broadcast; a label held by a large share of the rows then moves no row.
     """
     text = F.coalesce(F.col(column), F.lit(missing))
     labels = df.select(text.alias("_label")).distinct()
-    codes = written(
-        labels.withColumn(f"{column}_encoded", F.row_number().over(Window.orderBy("_label")) - 1), "codes"
-    )
+    ranked = global_rank(labels, ["_label"], rank="_rank", size="_labels")
+    codes = written(ranked.select("_label", (F.col("_rank") - 1).cast("int").alias(f"{column}_encoded")), "codes")
     return df.withColumn("_label", text).join(codes, "_label").drop("_label")
 
 

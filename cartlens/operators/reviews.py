@@ -142,7 +142,8 @@ def review_seller_top(rows: DataFrame, top: int = 10) -> DataFrame:
 def review_chi2(rows: DataFrame, top: int = 20) -> DataFrame:
     """Independence of category and low score over the most reviewed categories.
 
-    The table has at most ``top`` rows; a correction for one degree of freedom applies to two of them.
+    The table has at most ``top`` rows; a correction for one degree of freedom applies to two of them. Where
+    all scores are low, or none, the table has one column: statistic 0, no degrees of freedom, p 1.
     """
     low = F.when(F.col("score_group") == LOW, F.col("w")).otherwise(0)
     table = (
@@ -163,14 +164,15 @@ def review_chi2(rows: DataFrame, top: int = 20) -> DataFrame:
     whole = Window.partitionBy(F.lit(1))
     expected = F.col("row_n") * F.sum("seen").over(column) / F.sum("seen").over(whole)
     parts = cells.select("product_category_name", "is_low", "seen", expected.cast("double").alias("expected"))
+    parts = parts.filter(F.col("expected") > 0)
     gap = F.abs(F.col("seen") - F.col("expected"))
-    dof = F.count_distinct("product_category_name") - 1
+    dof = (F.count_distinct("product_category_name") - 1) * (F.count_distinct("is_low") - 1)
     plain = F.sum(gap * gap / F.col("expected"))
     less = F.greatest(gap - F.least(F.lit(0.5), gap), F.lit(0.0))
     corrected = F.sum(less * less / F.col("expected"))
-    return parts.agg(F.when(dof == 1, corrected).otherwise(plain).alias("chi2"), dof.alias("dof")).select(
-        "chi2", "dof", chi2_tail(F.col("chi2"), F.col("dof").cast("double")).alias("p_value")
-    )
+    tail = chi2_tail(F.col("chi2"), F.col("dof").cast("double"))
+    found = parts.agg(F.when(dof == 1, corrected).otherwise(plain).alias("chi2"), dof.alias("dof"))
+    return found.select("chi2", "dof", F.when(F.col("dof") == 0, 1.0).otherwise(tail).alias("p_value"))
 
 
 def review_mwu(rows: DataFrame) -> DataFrame:

@@ -268,20 +268,27 @@ query("segment_box", on(FEATURES, """, v AS (SELECT rfm_segment, unnest(['total_
 
 
 def _hist_sql(value: str, source: str, bins: int = 50) -> str:
-    return f"""h AS (SELECT min(CAST({value} AS DOUBLE)) AS lo, max(CAST({value} AS DOUBLE)) AS hi FROM {source}),
-  hb AS (SELECT least(CAST(floor((CAST({value} AS DOUBLE) - lo) / (hi - lo) * {bins}) AS BIGINT), {bins - 1}) AS bin, count(*) AS n
-    FROM {source} CROSS JOIN h WHERE {value} IS NOT NULL GROUP BY 1),
-  hr AS (SELECT r.bin, lo + r.bin * ((hi - lo) / {bins}) AS lower_edge, lo + (r.bin + 1) * ((hi - lo) / {bins}) AS upper_edge,
-    coalesce(n, 0) AS n FROM (SELECT unnest(range({bins})) AS bin) r CROSS JOIN h LEFT JOIN hb ON r.bin = hb.bin)"""
+    return f"""{value}_lim AS (SELECT min(CAST({value} AS DOUBLE)) AS lo, max(CAST({value} AS DOUBLE)) AS hi FROM {source}),
+  {value}_cnt AS (SELECT least(CAST(floor((CAST({value} AS DOUBLE) - lo) / (hi - lo) * {bins}) AS BIGINT), {bins - 1}) AS bin, count(*) AS n
+    FROM {source} CROSS JOIN {value}_lim WHERE {value} IS NOT NULL GROUP BY 1),
+  {value}_bins AS (SELECT r.bin, lo + r.bin * ((hi - lo) / {bins}) AS lower_edge, lo + (r.bin + 1) * ((hi - lo) / {bins}) AS upper_edge,
+    coalesce(n, 0) AS n FROM (SELECT unnest(range({bins})) AS bin) r CROSS JOIN {value}_lim LEFT JOIN {value}_cnt b ON r.bin = b.bin)"""
 
 
-query("rfm_histogram", on(FEATURES + ",\n", _hist_sql("total_spend", "features") + """
-  SELECT 'total_spend' AS measure, bin, round(lower_edge, 6) AS lower_edge, round(upper_edge, 6) AS upper_edge, n,
-    round((SELECT quantile_cont(total_spend, 0.5) FROM features), 4) AS median FROM hr"""))(
-    lambda s: rfm.rfm_histogram(scored_features(s), "total_spend").withColumns(
+_MEASURES = ("recency_days", "total_orders", "total_spend")
+
+
+@query("rfm_histogram", on(FEATURES + ",\n", ",\n".join(_hist_sql(m, "features") for m in _MEASURES) + " UNION ALL ".join(
+    f"""
+  SELECT '{m}' AS measure, bin, round(lower_edge, 6) AS lower_edge, round(upper_edge, 6) AS upper_edge, n,
+    round((SELECT quantile_cont({m}, 0.5) FROM features), 4) AS median FROM {m}_bins""" for m in _MEASURES)))
+def _(s):
+    base = scored_features(s)
+    parts = [rfm.rfm_histogram(base, m) for m in _MEASURES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns(
         {"lower_edge": F.round("lower_edge", 6), "upper_edge": F.round("upper_edge", 6), "median": F.round("median", 4)}
     )
-)
+
 
 query("features_summary", on(FEATURES, f"""SELECT count(*) AS total_users, count(rfm_segment) AS rfm_labeled,
   {o.rnd('sum(total_orders)', 'count(*)', 2)} AS avg_orders,

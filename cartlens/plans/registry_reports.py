@@ -166,8 +166,9 @@ _BRAND_REVIEWS = o.review_tables(BRAND)
     count(CASE WHEN score_group = 'low' THEN 1 END) AS lows FROM r_base WHERE product_category_name IS NOT NULL
     GROUP BY 1 ORDER BY n DESC, c LIMIT 20),
   x AS (SELECT c, n, unnest([lows, n - lows]) AS seen, unnest([1, 0]) AS k FROM t),
-  e AS (SELECT c, seen, CAST(n AS DOUBLE) * sum(seen) OVER (PARTITION BY k) / sum(seen) OVER () AS expected FROM x)
-  SELECT round(sum((seen - expected) * (seen - expected) / expected), 6) AS chi2, count(DISTINCT c) - 1 AS dof FROM e""".lstrip()), BRAND)
+  e AS (SELECT c, k, seen, CAST(n AS DOUBLE) * sum(seen) OVER (PARTITION BY k) / sum(seen) OVER () AS expected FROM x)
+  SELECT round(sum((seen - expected) * (seen - expected) / expected), 6) AS chi2,
+    (count(DISTINCT c) - 1) * (count(DISTINCT k) - 1) AS dof FROM e WHERE expected > 0""".lstrip()), BRAND)
 def _(s):
     rows = lines(s, ("product_category_name",), True)
     return reviews.review_chi2(rows).select(F.round("chi2", 6).alias("chi2"), "dof")
@@ -238,11 +239,11 @@ query("eda_table_counts", on(MODEL, """SELECT 'orders' AS table_name, count(*) A
   UNION ALL SELECT 'order_reviews', count(*), 5 FROM m_reviews UNION ALL SELECT 'products', count(*), 4 FROM m_products
   UNION ALL SELECT 'customers', count(*), 5 FROM m_customers UNION ALL SELECT 'sellers', count(*), 4 FROM supplier
   UNION ALL SELECT 'geolocation', count(*), 5 FROM customer"""))(lambda s: explore.eda_table_counts(all_tables(s)))
-query("eda_head", on(MODEL, """SELECT order_id, customer_id, order_status, purchase_ts AS order_purchase_timestamp FROM m_orders
-  ORDER BY order_id LIMIT 5"""))(
-    lambda s: explore.eda_head(
-        s.orders.select("order_id", "customer_id", "order_status", "order_purchase_timestamp"), 5, "order_id"
-    )
+_ORDER_COLUMNS = """order_id, customer_id, order_status, purchase_ts AS order_purchase_timestamp,
+  purchase_ts + INTERVAL 1 HOUR AS order_approved_at, purchase_ts + INTERVAL 1 DAY AS order_delivered_carrier_date,
+  delivered_ts AS order_delivered_customer_date, estimated_ts AS order_estimated_delivery_date"""
+query("eda_head", on(MODEL, f"SELECT {_ORDER_COLUMNS} FROM m_orders ORDER BY order_id LIMIT 5"))(
+    lambda s: explore.eda_head(s.orders, 5, "order_id")
 )
 
 
@@ -257,8 +258,9 @@ def _describe_sql(columns: dict[str, str]) -> str:
 
 
 query("eda_describe", on(MODEL, _describe_sql(
-    {"order_id": "bigint", "payment_sequential": "int", "payment_type": "string", "payment_installments": "int"})))(
-    lambda s: explore.eda_describe(s.order_payments.drop("payment_value"))
+    {"order_id": "bigint", "payment_sequential": "int", "payment_type": "string", "payment_installments": "int",
+     "payment_value": "decimal(18,2)"})))(
+    lambda s: explore.eda_describe(s.order_payments)
 )
 _NULLS = [
     ("orders", "m_orders", {"order_id": "order_id", "customer_id": "customer_id", "order_status": "order_status",
@@ -433,15 +435,11 @@ def _(s):
 
 # --- sources and sinks: whole tables out and back ----------------------------------------------
 
-_ORDER_COLUMNS = "order_id, customer_id, order_status, purchase_ts AS order_purchase_timestamp, delivered_ts AS order_delivered_customer_date"
-_KEPT = ("order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date")
-
-
 @query("src_csv", on(MODEL, f"SELECT {_ORDER_COLUMNS.replace('order_id, customer_id', 'CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id')} FROM m_orders"))
 def _(s):
     path = scratch_path(s.spark, "orders-csv")
     tables.write_csv(s.orders, path)
-    return tables.read_csv_tables(s.spark, {"orders": path, "sellers": path + "-missing"})["orders"].select(*_KEPT)
+    return tables.read_csv_tables(s.spark, {"orders": path, "sellers": path + "-missing"})["orders"]
 
 
 @query("src_parquet", on(MODEL, f"SELECT {_ORDER_COLUMNS} FROM m_orders"))
@@ -449,7 +447,7 @@ def _(s):
     path = scratch_path(s.spark, "orders-text")
     text = F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss")
     tables.write_parquet(s.orders.withColumn("order_purchase_timestamp", text), path)
-    return tables.read_parquet(s.spark, path).select(*_KEPT)
+    return tables.read_parquet(s.spark, path)
 
 
 @query("sink_parquet", on(MODEL, f"SELECT {o._CLEAN_COLUMNS} FROM m_clean"))
@@ -511,9 +509,10 @@ query("table_info", """SELECT 'order_payments' AS table_name, n AS row_count, CA
 )
 
 
-@query("save_table", on(MODEL, "SELECT order_id, order_status FROM m_orders UNION ALL SELECT order_id, order_status FROM m_orders WHERE order_status = 'delivered'"))
+@query("save_table", on(MODEL, f"""SELECT {_ORDER_COLUMNS} FROM m_orders
+  UNION ALL SELECT {_ORDER_COLUMNS} FROM m_orders WHERE order_status = 'delivered'"""))
 def _(s):
-    spark, rows = s.spark, s.orders.select("order_id", "order_status")
+    spark, rows = s.spark, s.orders
     tables.save_table(rows, "cartlens_appended", "replace", scratch_path(spark, "appended"))
     tables.save_table(rows.filter(F.col("order_status") == "delivered"), "cartlens_appended", "append")
     return tables.load_table(spark, "cartlens_appended")
