@@ -228,13 +228,17 @@ def small_groups(rows: DataFrame) -> DataFrame:
 
 
 def large_groups(rows: DataFrame) -> DataFrame:
-    """t, low, high: repeated windows among the regions of larger groups, counted as rows."""
+    """t, low, high: repeated windows among the regions of larger groups, counted as rows.
 
-    def run(batches):
+    Every distinct region is there once, so a window of two rows is in two places.
+    """
+    rows = written(rows.select("g", "t", "p", "bytes"), "large_regions")
+
+    def run(batches, places):
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                raw, cut = _joined(part.column(4))
+                raw, cut = _joined(part.column(3))
                 p = part.column(2).to_numpy()
                 more = p >> 8 & 255
                 windows = more + 1
@@ -242,17 +246,16 @@ def large_groups(rows: DataFrame) -> DataFrame:
                 place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                 start = cut[:-1][which] + place
                 h = range_hash(prefix_hash(raw), start, start + LENGTH).view(np.int64)
-                take = lambda c: pa.array(part.column(c).to_numpy()[which])
-                yield pa.RecordBatch.from_arrays(
-                    [take(0), pa.array((p & 255)[which] - place), pa.array(h), take(1), pa.array((p >> 16)[which] + place), take(3)],
-                    ["g", "o", "h", "t", "low", "n"],
-                )
+                g = part.column(0).to_numpy()[which].view(np.uint64)
+                run_place = mix(g + ((p & 255)[which] - place).astype(np.uint64)).view(np.int64)
+                columns = [pa.array(h), pa.array(run_place)]
+                if places:
+                    columns += [pa.array(part.column(1).to_numpy()[which]), pa.array((p >> 16)[which] + place)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "o", "t", "low"][: len(columns)])
 
-    # Regions stand for themselves once each, so a window of two rows is in two places.
-    rows = rows.select("g", "t", "p", "n", "bytes")
-    single = written(rows.mapInArrow(run, "g long, o long, h long, t long, low long, n long"), "windows")
-    again = single.groupBy("g", "o", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    return single.join(again, ["g", "o", "h"]).select("t", "low", (F.col("low") + LENGTH).alias("high"))
+    counts = rows.mapInArrow(lambda b: run(b, False), "h long, o long").groupBy("h", "o").agg(F.count(F.lit(1)).alias("c"))
+    single = rows.mapInArrow(lambda b: run(b, True), "h long, o long, t long, low long")
+    return single.join(counts.filter("c > 1").drop("c"), ["h", "o"]).select("t", "low", (F.col("low") + LENGTH).alias("high"))
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +288,8 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = region_rows(docs)
     runs = rows.groupBy("g").agg(F.count(F.lit(1)).alias("total"), F.min("r").alias("least"), F.max("r").alias("most"))
     runs = runs.filter("total > 1").select("g", (F.col("least") != F.col("most")).alias("mixed"))
-    again = written(rows.join(runs, "g"), "repeated_runs")
+    known = rows.join(runs, "g").select(F.when(F.col("mixed"), F.col("g")).alias("g"), F.when(F.col("mixed"), F.col("r")).alias("r"), "t", "p", "mixed")
+    again = written(known, "repeated_runs")
     mixed = again.filter("mixed").groupBy("g", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p")).alias("rep"))
     mixed = written(mixed, "mixed_regions")
     counts = mixed.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
@@ -299,8 +303,9 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = docs.select("t", F.octet_length("text").alias("size")).groupBy("t").agg(F.max("size").alias("size"))
     whole = written(marks.join(sizes, "t").filter(F.col("windows") == F.col("size") - (LENGTH - 1)).select("t"), "whole")
     needed = written(wanted.select("t").unionByName(marks.select("t").join(whole, "t", "left_anti")).distinct(), "needed")
-    texts = docs.join(needed, "t", "left_semi").groupBy("t").agg(F.first(F.col("text").cast("binary")).alias("text"))
-    texts = written(texts, "texts")
+    # copies meet in each task first, so a text held by very many rows is moved once per task
+    texts = docs.groupBy("t").agg(F.first(F.col("text").cast("binary")).alias("text"))
+    texts = written(texts.join(needed, "t", "left_semi"), "texts")
     parts = written(fetched(texts, wanted.filter(f"m <= {GROUP}")).transform(small_groups), "small_marks")
     large = large_groups(fetched(texts, wanted.filter(f"m > {GROUP}")))
     fresh = parts.unionByName(large).groupBy("t").agg(F.collect_set(F.struct("low", "high")).alias("more"))
