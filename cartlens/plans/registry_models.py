@@ -46,7 +46,9 @@ query("kmeans_silhouette")(lambda s: (lambda v: cl.kmeans_silhouette(v, cl.kmean
 @query("kmeans_assign")
 def _(s):
     v = vectors(s)
-    return cl.kmeans_assign(v, cl.kmeans_best(v, 4)).groupBy("cluster").agg(F.count(F.lit(1)).alias("users"))
+    models = cl.kmeans_scan(v)
+    best = cl.kmeans_silhouette(v, models).filter("is_best").first()["k"]
+    return cl.kmeans_assign(v, models[best]).groupBy("cluster").agg(F.count(F.lit(1)).alias("users"))
 
 
 @query("pca2")
@@ -206,15 +208,15 @@ def _(s):
 @query("ml_cv")
 def _(s):
     train, _, names = split_sides(s)
-    return cm.ml_cv(train, names, cm.learners(TREES)[:2])
+    return cm.ml_cv(train, names, cm.learners(TREES))
 
 
 def compared(s):
     train, test, names = split_sides(s)
-    models = cm.learners(TREES)[:2]
+    models = cm.learners(TREES)
     fits = {m.name: cm.fit_learner(m, train, names) for m in models}
     tests = {name: cm.evaluate(cm.predict(fit, test)) for name, fit in fits.items()}
-    return cm.ml_comparison(cm.ml_cv(train, names, models, smote=False), tests), fits, test
+    return cm.ml_comparison(cm.ml_cv(train, names, models), tests), fits, test
 
 
 query("ml_comparison")(lambda s: compared(s)[0])

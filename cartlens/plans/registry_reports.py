@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens import fixed_values as fv
@@ -293,7 +296,7 @@ query("eda_status_dist", on(MODEL, "SELECT order_status, count(*) AS orders FROM
 )
 query("eda_delivery_hist", on(MODEL + ",\n", _hist_sql("delivery_days", "m_clean") + """
   SELECT bin, round(lower_edge, 6) AS lower_edge, round(upper_edge, 6) AS upper_edge, n,
-    (SELECT median(delivery_days) FROM m_clean) AS median_days FROM hr"""))(
+    (SELECT median(delivery_days) FROM m_clean) AS median_days FROM delivery_days_bins"""))(
     lambda s: explore.eda_delivery_hist(cleaned(s)).withColumns(
         {"lower_edge": F.round("lower_edge", 6), "upper_edge": F.round("upper_edge", 6)}
     )
@@ -518,8 +521,25 @@ def _(s):
     return tables.load_table(spark, "cartlens_appended")
 
 
-query("key_check", """SELECT 'order_items' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, CAST(0 AS BIGINT) AS null_keys,
-  count(CASE WHEN n > 1 THEN 1 END) AS duplicate_keys, CAST(sum(n - 1) AS BIGINT) AS surplus_rows
-  FROM (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)""")(
-    lambda s: tables.key_check(s.order_items, "order_items")
-)
+_KEYED_TABLES = {
+    "customers": ("m_customers", "customer_id"), "orders": ("m_orders", "order_id"), "order_items": ("m_items", "order_id, order_item_id"),
+    "order_payments": ("m_payments", "order_id, payment_sequential"), "order_reviews": ("m_reviews", "review_id"),
+    "products": ("m_products", "product_id"), "sellers": ("supplier", "s_suppkey"),
+    "category_translation": ("(SELECT DISTINCT p_type FROM part)", "p_type"),
+}
+
+
+def _key_sql(name: str, source: str, keys: str) -> str:
+    missing = " OR ".join(f"{k} IS NULL" for k in keys.split(", "))
+    return f"""SELECT '{name}' AS table_name, CAST(coalesce(sum(n), 0) AS BIGINT) AS row_count,
+    CAST(coalesce(sum(n) FILTER ({missing}), 0) AS BIGINT) AS null_keys,
+    count(*) FILTER (NOT ({missing}) AND n > 1) AS duplicate_keys,
+    CAST(coalesce(sum(n - 1) FILTER (NOT ({missing})), 0) AS BIGINT) AS surplus_rows
+  FROM (SELECT {keys}, count(*) AS n FROM {source} GROUP BY ALL)"""
+
+
+@query("key_check", on(MODEL, " UNION ALL ".join(_key_sql(n, *t) for n, t in _KEYED_TABLES.items())))
+def _(s):
+    """All tables that have a key; repeated places are what geolocation is made of."""
+    parts = [tables.key_check(s.table(n), n) for n in _KEYED_TABLES]
+    return reduce(DataFrame.unionByName, parts)

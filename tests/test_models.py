@@ -103,9 +103,10 @@ def test_feature_rule():
 
     class Frame:
         dtypes = [("customer_unique_id", "bigint"), ("first_purchase_date", "timestamp_ntz"), ("recency_days", "int"),
+                  ("customer_tenure_days", "int"), ("purchase_frequency", "double"), ("rfm_f_score", "int"),
                   ("rfm_segment", "string"), ("main_category", "string"), ("is_churned", "int"), ("when", "timestamp")]
 
-    assert m.ml_feature_select(Frame) == ["recency_days", "main_category"]
+    assert m.ml_feature_select(Frame) == ["recency_days", "customer_tenure_days", "purchase_frequency", "rfm_f_score", "main_category"]
     assert m.ml_feature_select(Frame, "no_leak") == ["main_category"]
 
 

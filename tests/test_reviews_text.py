@@ -135,3 +135,9 @@ def test_describe_of_an_empty_column(spark):
     df = spark.createDataFrame([(None, "b"), (None, "a")], "x int, s string")
     got = {r.column_name: r for r in explore.eda_describe(df).collect()}
     assert (got["x"]["count"], got["x"].top) == (0, None) and (got["s"].top, got["s"].freq) == ("a", 1)
+
+
+def test_chi2_with_one_column(spark):
+    rows = spark.createDataFrame([("a", "high", 3), ("b", "high", 5), ("c", "high", 1)], "product_category_name string, score_group string, w long")
+    r = reviews.review_chi2(rows).first()
+    assert (r.chi2, r.dof, r.p_value) == (0.0, 0, 1.0)
