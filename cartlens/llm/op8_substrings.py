@@ -287,7 +287,8 @@ def repeated_bytes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(t, whole) and (t, lows, highs): texts repeated as a whole, and the marked bytes of the others. ``docs``: t, text."""
     rows = region_rows(docs)
     runs = rows.groupBy("g").agg(F.count(F.lit(1)).alias("total"), F.min("r").alias("least"), F.max("r").alias("most"))
-    runs = runs.filter("total > 1").select("g", (F.col("least") != F.col("most")).alias("mixed"))
+    # written first, so that both sides of the join are plain shuffles and a hot run is split
+    runs = written(runs.filter("total > 1").select("g", (F.col("least") != F.col("most")).alias("mixed")), "runs")
     known = rows.join(runs, "g").select(F.when(F.col("mixed"), F.col("g")).alias("g"), F.when(F.col("mixed"), F.col("r")).alias("r"), "t", "p", "mixed")
     again = written(known, "repeated_runs")
     mixed = again.filter("mixed").groupBy("g", "r").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p")).alias("rep"))
