@@ -118,8 +118,9 @@ def min_cost_flow(sizes: list[int], members: list[list[int]], quotas: list[int],
             x = to[came[x] ^ 1]
 
 
-def routed(units: DataFrame, goals: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
-    """_pattern, _words (its size), _given (words the flow sends from it). ``units``: _pattern, _sources, _total."""
+def routed(units: DataFrame, goals: DataFrame, most: int = MOST_REPEATS) -> tuple[DataFrame, bool]:
+    """_pattern, _words (its size), _given (words the flow sends from it), and whether they are MAX_PATTERNS rows at
+    most. ``units``: _pattern, _sources, _total."""
     spark = units.sparkSession
     patterns = written(units.groupBy("_pattern").agg(F.first("_sources").alias("_sources"), F.sum("_total").alias("_words")), "patterns")
     aims = goals.select("source", F.round("target").cast("long").alias("_quota"))
@@ -147,15 +148,20 @@ def routed(units: DataFrame, goals: DataFrame, most: int = MOST_REPEATS) -> Data
         [(r["_pattern"], r["_words"], sum(f.values())) for r, f in zip(rows, flow)],
         "_pattern string, _words long, _given long",
     )
-    return solved if settled is None else solved.unionByName(settled)
+    return (solved, True) if settled is None else (solved.unionByName(settled), False)
 
 
-def prefix_totals(rows: DataFrame) -> DataFrame:
+def by_pattern(rows: DataFrame, values: DataFrame, few: bool) -> DataFrame:
+    """Joins a row for each pattern: broadcast if the patterns were counted and are few, else left to the planner."""
+    return rows.join(F.broadcast(values) if few else values, "_pattern")
+
+
+def prefix_totals(rows: DataFrame, few: bool) -> DataFrame:
     """Adds _upto: the sum of _total within the pattern up to this unit in seeded order."""
     summed = running_totals(rows, ["_pattern", "_draw", "_id", "_size"], {"_run": "_total"})
     summed = written(summed, "totals")
     before = summed.groupBy("_pattern").agg(F.min(F.col("_run") - F.col("_total")).alias("_before"))
-    return summed.join(before, "_pattern").withColumn("_upto", F.col("_run") - F.col("_before")).drop("_run", "_before")
+    return by_pattern(summed, before, few).withColumn("_upto", F.col("_run") - F.col("_before")).drop("_run", "_before")
 
 
 def mixed(
@@ -185,14 +191,14 @@ def mixed(
     )
     held = units.select(F.explode("_sources").alias("source"), "_total")
     goals = written(targets(held.groupBy("source").agg(F.sum("_total").alias("source_size")), weights, share, most), "targets")
-    flow = routed(units, goals, most)
+    flow, few = routed(units, goals, most)
     whole = F.floor(F.col("_given") / F.greatest(F.col("_words"), F.lit(1)))
     flow = flow.select("_pattern", whole.alias("_whole"), (F.col("_given") - whole * F.col("_words")).alias("_rest"))
-    first = prefix_totals(units).join(flow, "_pattern")
+    first = by_pattern(prefix_totals(units, few), flow, few)
     first = written(first.withColumn("_more", (F.col("_upto") <= F.col("_rest")).cast("long")), "first")
     gap = first.groupBy("_pattern").agg((F.max("_rest") - F.sum(F.col("_more") * F.col("_total"))).alias("_gap"))
-    small = first.filter("_more = 0").join(gap, "_pattern").filter(F.col("_total") * FINE <= F.col("_gap"))
-    fill = prefix_totals(small.drop("_upto", "_more", "_whole", "_rest")).filter(F.col("_upto") <= F.col("_gap"))
+    small = by_pattern(first.filter("_more = 0"), gap, few).filter(F.col("_total") * FINE <= F.col("_gap"))
+    fill = prefix_totals(small.drop("_upto", "_more", "_whole", "_rest"), few).filter(F.col("_upto") <= F.col("_gap"))
     extra = fill.select("_pattern", "_draw", "_id", "_size")
     on = [first[c].eqNullSafe(extra[c]) for c in ("_pattern", "_draw", "_id", "_size")]
     chosen = first.join(extra.withColumn("_extra", F.lit(1)), on, "left").select(
