@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:
             w = descend(own, twin, np.array(label, float), weight, len(ids))
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    fitted = sample.mapInArrow(lists, "own binary, twin binary, label int").coalesce(1).mapInArrow(solve, "w binary").collect()
+    lists_of = written(sample.mapInArrow(lists, "own binary, twin binary, label int"), "lists")
+    fitted = lists_of.coalesce(1).mapInArrow(solve, "w binary").collect()
     w = np.frombuffer(bytes(fitted[0]["w"]))
     return {"ids": ids, "weights": w[:-1], "bias": float(w[-1]), "share": share}
 
