@@ -34,8 +34,8 @@ from cartlens.session import written
 
 #: Words of at least this share of all words are in the broadcast table: at most 500,000.
 SHARE = 2e-6
-FLUSH_WORDS = 300_000
-BATCH_BYTES = 4_000_000
+FLUSH_WORDS = 150_000
+BATCH_BYTES = 1_000_000
 
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,7 +63,8 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
         self.unsettled = regex.compile(f"[^{SETTLED}]")
-        self.splitter = Tokenizer.from_str(settings).pre_tokenizer
+        bare = parsed | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        self.splitter = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer  # without a second vocabulary
         parsed["added_tokens"] = []
         self.model = Tokenizer.from_str(json.dumps(parsed))
         self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
