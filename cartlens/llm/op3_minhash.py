@@ -8,9 +8,9 @@ the least pi(sigma(x) - k), pi shifted circularly by k. Bands of the signature a
 * In larger ones every class is paired with a leader, the class whose buckets are largest in sum over all bands: the
   common origin of a family of copies, and the same one in all bands.
 * Pairs are confirmed on the full sets; components of confirmed links give labels.
-* Large buckets that hold several labels are then compared in packed blocks: pairs of different label that share two
-  bands or more go to confirmation too, so a group whose members are not all near the leader loses no link. Pairs
-  within the main label of a bucket need no comparison.
+* Where the large buckets of a leader hold several labels, their classes are compared in packed blocks that carry the full
+  sets: pairs of different label that share two bands or more are confirmed on the spot and only links come out, so a
+  group whose members are not all near the leader loses no link. Pairs within the main label need no comparison.
 
 Nothing is paired within a class, no bucket is capped, and no group is held whole in a task.
 
@@ -37,7 +37,7 @@ SHINGLE = 3
 PERCENT = 85
 ROWS, BANDS = 5, 26
 SMALL = 8
-BLOCK = 128
+BLOCK = 32
 LEAST_SHARED = 2
 
 
@@ -114,27 +114,27 @@ def alike(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
-def first_pairs(members: DataFrame, percent: int) -> DataFrame:
+def leaders_of(members: DataFrame) -> DataFrame:
+    """Written: band, h, leader, m (its size) of the large buckets."""
+    top = F.max(F.struct("weight", "node", "n"))
+    large = members.filter(F.col("size") > SMALL).groupBy("band", "h").agg(top.alias("top"))
+    return written(large.select("band", "h", F.col("top.node").alias("leader"), F.col("top.n").alias("m")), "leaders")
+
+
+def first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
     """a, b: a the class with larger buckets. ``members``: band, h, node, n, size, weight."""
     small = members.filter(F.col("size") <= SMALL)
     other = small.select("band", "h", F.col("node").alias("b"), F.col("n").alias("m"))
     near = small.join(other, ["band", "h"]).filter(F.col("node") < F.col("b")).filter(alike("n", "m", percent)).select(F.col("node").alias("a"), "b")
     large = members.filter(F.col("size") > SMALL)
-    leaders = large.groupBy("band", "h").agg(F.max(F.struct("weight", "node", "n")).alias("top")).select(
-        "band", "h", F.col("top.node").alias("a"), F.col("top.n").alias("m")
-    )
-    star = large.join(leaders, ["band", "h"]).filter(F.col("node") != F.col("a")).filter(alike("n", "m", percent)).select("a", F.col("node").alias("b"))
+    star = large.join(leaders, ["band", "h"]).filter(F.col("node") != F.col("leader")).filter(alike("n", "m", percent))
+    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b"))
     return near.unionByName(star).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. One text of each class is read again for its set.
-
-    The second node's set is joined first; then rows gather at the first, a leader perhaps of very many, where
-    the rows with their sets are what skew handling splits.
-    """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(classes.select("node", "rep"), "node").select("rep", "node"), "wanted")
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """Written: node and items (its sorted shingle hashes). One text of each class is read again."""
+    reps = written(nodes.join(classes.select("node", "rep"), "node").select("rep"), "wanted").distinct()
 
     def run(batches):
         for batch in batches:
@@ -143,17 +143,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    reps = wanted.select("rep").distinct()
-    sets = written(texts.join(reps, texts["_id"].eqNullSafe(reps["rep"]), "left_semi").select("_text").mapInArrow(run, "node binary, items binary"), "sets")
+    texts = texts.join(reps, texts["_id"].eqNullSafe(reps["rep"]), "left_semi").select("_text")
+    return written(texts.mapInArrow(run, "node binary, items binary"), "sets")
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough.
+
+    The second node's set is joined first; then rows gather at the first, a leader perhaps of very many, where
+    the rows with their sets are what skew handling splits.
+    """
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("_of_b")), "b")
@@ -161,48 +171,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, t
     return written(two.mapInArrow(compare, "a binary, b binary"), "links")
 
 
-def later_pairs(members: DataFrame, labels: DataFrame, percent: int, shared: int) -> DataFrame:
-    """Pairs of different label in large buckets that share at least ``shared`` bands, from packed blocks."""
-    large = members.filter(F.col("size") > SMALL).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = large.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("own"))
-    mixed = parts.groupBy("band", "h").agg(F.max(F.struct("own", "label")).alias("main"), F.sum("own").alias("whole"), F.count(F.lit(1)).alias("labels"))
+def families(members: DataFrame, leaders: DataFrame, labels: DataFrame) -> DataFrame:
+    """leader, node, label and block numbers for the leaders whose large buckets hold several labels.
+
+    Two classes that share a large bucket share its leader. ``rest`` marks classes outside the main label.
+    """
+    large = members.filter(F.col("size") > SMALL)
+    family = large.join(leaders, ["band", "h"]).select("leader", "node").distinct()
+    family = written(family.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "families")
+    parts = family.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("own"))
+    mixed = parts.groupBy("leader").agg(F.max(F.struct("own", "label")).alias("main"), F.sum("own").alias("whole"), F.count(F.lit(1)).alias("labels"))
     mixed = mixed.filter("labels > 1").select(
-        "band", "h", F.col("main.label").alias("main"),
+        "leader", F.col("main.label").alias("main"),
         F.ceil(F.col("main.own") / BLOCK).alias("main_blocks"), F.ceil((F.col("whole") - F.col("main.own")) / BLOCK).alias("rest_blocks"),
     )
-    rows = large.join(mixed, ["band", "h"]).withColumn("rest", (F.col("label") != F.col("main")).cast("int"))
+    rows = family.join(mixed, "leader").withColumn("rest", (F.col("label") != F.col("main")).cast("int"))
     spread = F.pmod(F.xxhash64("node"), F.when(F.col("rest") == 1, F.col("rest_blocks")).otherwise(F.col("main_blocks")))
-    blocks = rows.withColumn("block", spread).groupBy("band", "h", "rest", "block").agg(
-        F.collect_list(F.struct("node", "label", "n", "bands")).alias("items"), F.first("main_blocks").alias("main_blocks"), F.first("rest_blocks").alias("rest_blocks")
+    return written(rows.withColumn("block", spread).drop("main"), "mixed_families")
+
+
+def later_links(rows: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Confirmed links between classes of different label in the families, from packed blocks with their sets.
+
+    Only links leave a task. Where two labels have met in a pair of blocks, their other pairs there need no comparison.
+    """
+    whole = rows.join(classes.select("node", "n", "bands"), "node").join(sets, "node")
+    blocks = whole.groupBy("leader", "rest", "block").agg(
+        F.collect_list(F.struct("node", "label", "n", "bands", "items")).alias("items"), F.first("main_blocks").alias("main_blocks"), F.first("rest_blocks").alias("rest_blocks")
     )
     blocks = written(blocks, "blocks")
     rest = blocks.filter("rest = 1")
-    with_rest = rest.select("band", "h", "items", "block", F.lit(1).alias("rest"), F.explode(F.sequence("block", F.col("rest_blocks") - 1)).alias("other"))
-    with_main = rest.select("band", "h", "items", "block", F.lit(0).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("main_blocks") - 1)).alias("other"))
-    right = blocks.select("band", "h", "rest", F.col("block").alias("other"), F.col("items").alias("others"))
-    met = with_rest.unionByName(with_main).join(right, ["band", "h", "rest", "other"]).select("band", "items", "others")
+    others = lambda first, count, is_rest: rest.select(
+        "leader", "items", F.lit(is_rest).alias("rest"), F.explode(F.sequence(first, F.col(count) - 1)).alias("other")
+    )
+    left = others(F.col("block"), "rest_blocks", 1).unionByName(others(F.lit(0).cast("long"), "main_blocks", 0))
+    right = blocks.select("leader", "rest", F.col("block").alias("other"), F.col("items").alias("others"))
+    met = left.join(right, ["leader", "rest", "other"]).select("items", "others")
 
     def unpack(items):
         v = items.values
-        bands = v.field("bands")
         return (
-            np.array(v.field("node").to_pylist(), object), np.array(v.field("label").to_pylist(), object),
-            v.field("n").to_numpy(), bands.flatten().to_numpy().reshape(len(v), -1),
+            v.field("node").to_pylist(), np.array(v.field("label").to_pylist(), object), v.field("n").to_numpy(),
+            v.field("bands").flatten().to_numpy().reshape(len(v), -1), v.field("items").to_pylist(),
         )
 
     def compare(batches):
         for batch in batches:
+            out = []
             for r in range(len(batch)):
-                band = batch.column(0)[r].as_py()
-                (x, lx, nx, bx), (y, ly, ny, by) = unpack(batch.column(1)[r]), unpack(batch.column(2)[r])
-                same = bx[:, None, :] == by[None, :, :]
-                ok = (same.sum(axis=2) >= shared) & (same.argmax(axis=2) == band) & (lx[:, None] != ly[None, :])
+                (x, lx, nx, bx, sx), (y, ly, ny, by, sy) = unpack(batch.column(0)[r]), unpack(batch.column(1)[r])
+                common = (bx[:, None, :] == by[None, :, :]).sum(axis=2)
                 low, high = np.minimum(nx[:, None], ny[None, :]), np.maximum(nx[:, None], ny[None, :])
-                i, j = np.nonzero(ok & (100 * low >= percent * high))
-                pair = [(min(p, q), max(p, q)) for p, q in zip(x[i], y[j])]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pair], pa.binary()), pa.array([q for _, q in pair], pa.binary())], ["a", "b"])
+                i, j = np.nonzero((common >= shared) & (lx[:, None] != ly[None, :]) & (100 * low >= percent * high))
+                order = np.argsort(-common[i, j], kind="stable")
+                up: dict[bytes, bytes] = {}
+
+                def root(label):
+                    while label in up:
+                        label = up[label]
+                    return label
+
+                for p, q in zip(i[order], j[order]):
+                    one, two = root(lx[p]), root(ly[q])
+                    if one != two and similar(sx[p], sy[q], percent):
+                        up[one] = two
+                        out.append((x[p], y[q]))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], ["a", "b"])
 
-    return met.mapInArrow(compare, "a binary, b binary").distinct()
+    return written(met.mapInArrow(compare, "a binary, b binary"), "later_links")
 
 
 def near_duplicates(
@@ -214,18 +250,22 @@ def near_duplicates(
         base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     spread = classes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    sizes = spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # written first, so that both sides of the join are plain shuffles and a hot bucket is split; leaders likewise
+    sizes = written(spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
     shared_ = written(spread.join(sizes, ["band", "h"]), "buckets")
     weights = shared_.groupBy("node").agg(F.sum("size").alias("weight"))
     members = written(shared_.join(weights, "node"), "members")
-    pairs = written(first_pairs(members, percent), "pairs")
-    links = confirmed(pairs, docs, classes, key, text, shingle, percent)
+    leaders = leaders_of(members)
+    pairs = written(first_pairs(members, leaders, percent), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    links = confirmed(pairs, sets_of(asked, docs, classes, key, text, shingle), percent)
     labels = connected(links)
-    wide = members.filter(F.col("size") > SMALL).join(classes.select("node", "bands"), "node")
-    more = later_pairs(wide, labels, percent, LEAST_SHARED)
-    more = written(more.join(pairs, (more["a"] == F.least(pairs["a"], pairs["b"])) & (more["b"] == F.greatest(pairs["a"], pairs["b"])), "left_anti"), "more_pairs")
-    if more.limit(1).count():
-        labels = connected(links.unionByName(confirmed(more, docs, classes, key, text, shingle, percent)))
+    mixed = families(members, leaders, labels)
+    if mixed.limit(1).count():
+        sets = sets_of(mixed.select("node").distinct(), docs, classes, key, text, shingle)
+        more = later_links(mixed, sets, classes, percent, LEAST_SHARED)
+        if more.limit(1).count():
+            labels = connected(links.unionByName(more))
     found = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.groupBy("label").agg(F.min("rep").alias("component_id"))
     placed = found.join(least, "label").select(F.col("node").alias("_node"), "component_id")
