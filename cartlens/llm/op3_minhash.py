@@ -16,7 +16,8 @@ Nothing is paired within a class, no bucket is capped, and no group is held whol
 
 Defined results: null, empty and blank texts have an empty set, n_shingles 0 and are linked with nothing. Equal rows
 fall in one class; a component's id is its smallest non-null document id (null if it has none), and ``kept`` means that
-the row has this id, so rows that repeat a kept id are all kept (``one_of_each`` keeps just one of them).
+the row has this id, so rows that repeat a kept id are all kept (``one_of_each`` keeps one row of each component, whatever
+the ids are).
 """
 
 from __future__ import annotations
@@ -275,16 +276,18 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents with one row of each component kept, with all their columns; texts without words all stay."""
-    found = near_duplicates(docs, key, text, **settings)
-    kept = written(found.filter("kept").select("doc_id", (F.col("n_shingles") == 0).alias("blank")).groupBy("doc_id", "blank").agg(F.count(F.lit(1)).alias("_rows")), "kept")
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(ids, docs[f"`{key}`"].eqNullSafe(ids["_kept_id"]), "left_semi")
-    if kept.filter("not blank and _rows > 1").limit(1).count() == 0 and kept.count() == ids.count():
-        return rows
-    # ids that repeat: one row of each id and set stays
-    blank = F.coalesce(F.trim(F.regexp_replace(F.col(f"`{text}`"), r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    return rows.filter(blank).unionByName(rows.filter(~blank).dropDuplicates([key]))
+    """The documents with one row of each component kept, with all their columns; texts without words all stay.
+
+    Rows are told apart by a key of their own, so ids may be null or repeat. The row with the smallest id stays,
+    a null id last; of equal ids the first row.
+    """
+    names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
+    key, text = f"_in{names.index(key)}", f"_in{names.index(text)}"
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows, "_row", text, **settings).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
+    first = found.join(rows.select("_row", key), "_row").groupBy("_component").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns).toDF(*names)
 
 
 @query("op3_minhash")

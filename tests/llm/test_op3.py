@@ -77,3 +77,17 @@ def test_one_row_of_each_stays(spark):
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, _ in want if i is not None)
     assert m.one_of_each(df.filter("false")).count() == 0
     assert m.near_duplicates(df.filter("false")).count() == 0
+
+
+def test_unrelated_rows_without_own_id_stay(spark):
+    rnd = random.Random(5)
+    prose = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    alone, shared, copied = [prose() for _ in range(12)], [prose() for _ in range(4)], prose()
+    rows = [(None, t, "null") for t in alone] + [(5, t, "same") for t in shared] + [(9, copied, "copy"), (None, copied, "copy"), (9, copied, "copy")]
+    rows += [(None, None, "blank"), (None, " ", "blank"), (5, "", "blank")]
+    rnd.shuffle(rows)
+    out = m.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    text = lambda k: sorted(r.text for r in out if r.component_id == k)
+    assert text("null") == sorted(alone) and text("same") == sorted(shared)
+    assert [(r.doc_id, r.text) for r in out if r.component_id == "copy"] == [(9, copied)]
+    assert sum(r.component_id == "blank" for r in out) == 3
