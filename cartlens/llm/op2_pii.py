@@ -1,15 +1,16 @@
 """Personal data: fixed patterns, and terms that give protected values away by what the corpus says about them.
 
-Protected entities are the values of the base spans (e-mail, IP, card, phone). Terms in their neighbourhood are judged by
-information theory: with p from document frequencies, PMI(entity; term) = log2 p(entity, term) / (p(entity) p(term)) says how
-many of the IC(entity) = -log2 p(entity) bits the term discloses. A term whose share PMI / IC reaches ``DISCLOSURE``, with
-at least ``LEAST_DOCS`` common documents behind the estimate, is marked wherever it stands near that entity,
-and ``sanitised`` generalises it ([WORD], [NUMBER]) or removes it.
+Protected entities are the values of the base spans (e-mail, IP, card, phone). The terms of the documents that hold them
+are judged by information theory: with p from document frequencies, PMI(entity; term) = log2 p(entity, term) / (p(entity)
+p(term)) says how many of the IC(entity) = -log2 p(entity) bits the term discloses. A term whose share PMI / IC reaches
+``DISCLOSURE``, with at least ``LEAST_DOCS`` common documents behind the estimate, gives that entity away wherever it
+stands, so all its occurrences in all documents are marked; ``sanitised`` generalises it ([WORD], [NUMBER]) or removes it.
 
 DataFrame functions only. Positions come from splitting at the matches and summing lengths, so no text is cut by hand.
-Neighbourhoods are a fixed number of characters, so (entity, term) rows grow with the number of spans and no document or
-entity pairs all its words; counts are partial sums before each shuffle, and the joins on entity and term are left to
-skew handling. Term frequencies count every document of the corpus.
+A document's entities meet its distinct terms, less those that can't pass: as n_et <= n_e, a telling term has
+n_t <= N / (N / n_e) ** DISCLOSURE, and neither entities nor terms of fewer than ``LEAST_DOCS`` documents count. These first
+counts take a term anywhere in a document; only pairs that pass are counted again from the terms clear of base spans.
+Counts are partial sums before each shuffle, and the joins on entity and term are left to skew handling.
 
 Defined results: a null text is empty. Rows are marked one by one, repeated rows alike, and each counts as a document. An
 empty table gives an empty one. Text outside the spans stays as it is.
@@ -26,7 +27,7 @@ from cartlens.session import written
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
 LEAST_DOCS = 3
-NEAR = 80  # characters on each side of a span
+NEAR = 1 << 31  # characters on each side of a span that are searched for terms: the whole text
 
 # The same matches as the plain patterns, with starts that can't match ruled out: a match starts where a run of its
 # characters does or where the last match ended, and runs are taken whole.
@@ -104,47 +105,50 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[of_kind(k, a) for k, a in enumerate(found)]))
 
 
-def nearby(text: Column, span: Column) -> Column:
-    """array<struct<start, end, value>>: the whole terms within ``NEAR`` characters before and behind the span."""
-
-    def side(low: Column, high: Column) -> Column:
-        window = F.substr(text, low + 1, high - low)
-        whole = F.filter(matches(window, TERM), lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < high - low) | (high == F.length(text))))
-        return F.transform(whole, lambda t: F.struct((t["start"] + low).alias("start"), (t["end"] + low).alias("end"), F.lower(t["value"]).alias("value")))
-
-    before = side(F.greatest(span["start"] - NEAR, F.lit(0)), span["start"])
-    behind = side(span["end"], F.least(span["end"] + NEAR, F.length(text)))
-    return F.concat(before, behind)
-
-
 def entity(span: Column) -> Column:
     plain = F.when(span["k"].isin(0, 1), F.lower(span["value"])).otherwise(digits(span["value"]))
     return F.concat(span["k"].cast("string"), F.lit(":"), plain)
 
 
 def found_in(docs: DataFrame, text: str) -> DataFrame:
-    """Written: the rows with base spans, their columns and _pii (spans) and _pii_row."""
-    spans = base_spans(F.col(f"`{text}`"))
-    return written(docs.withColumn("_pii", spans).filter(F.size("_pii") > 0).withColumn("_pii_row", F.monotonically_increasing_id()), "pii")
-
-
-def disclosing(docs: DataFrame, dirty: DataFrame, text: str, share: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
-    """_pii_row, _terms: array<struct<start, end>> of the terms near an entity that disclose it."""
-    spans = dirty.select("_pii_row", F.col(f"`{text}`").alias("text"), "_pii", F.explode("_pii").alias("span"))
-    near = spans.select("_pii_row", "_pii", entity(F.col("span")).alias("entity"), F.explode(nearby(F.col("text"), F.col("span"))).alias("t"))
-    clear = ~F.exists("_pii", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    near = written(near.filter(clear).select("_pii_row", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")), "near")
-    total = docs.count()
-    n_entity = spans.select("_pii_row", entity(F.col("span")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    n_both = near.select("_pii_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= least)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0)))
-    n_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") >= least)
-    bits = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
+    """Written: the rows, their columns and _pii (base spans, perhaps none) and _pii_row."""
+    return written(docs.withColumn("_pii", base_spans(F.col(f"`{text}`"))).withColumn("_pii_row", F.monotonically_increasing_id()), "pii")
+
+
+def disclosing(rows: DataFrame, text: str, share: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
+    """_pii_row, _terms: array<struct<start, end>> of the terms that disclose an entity. ``rows``: of ``found_in``."""
+    old, total = F.coalesce(F.col(f"`{text}`"), F.lit("")), rows.count()
+    held = rows.filter(F.size("_pii") > 0).select("_pii_row", F.explode(F.array_distinct(F.transform("_pii", entity))).alias("entity"))
+    held = written(held, "entities")
+    n_entity = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= least)
     known = F.log2(F.lit(float(total)) / F.col("n_e"))
-    telling = n_both.join(n_entity, "entity").join(n_term, "term").filter(known > 0).filter(bits >= share * known).select("entity", "term")
-    telling = written(telling, "telling")
-    marked = near.join(telling, ["entity", "term"]).select("_pii_row", F.struct("start", "end").alias("e")).distinct()
-    return marked.groupBy("_pii_row").agg(F.array_sort(F.collect_list("e")).alias("_terms"))
+    most = F.lit(float(total)) / F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(share)) * (1 + 1e-9)
+    n_entity = written(n_entity.filter(known > 0).withColumn("most", most), "entity_counts")
+    held = written(held.join(n_entity, "entity"), "held")
+    highest = n_entity.agg(F.max("most")).first()[0] or 0.0
+
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(old, F.lit(TERM), F.lit(0)), F.lower))
+    words = rows.select("_pii_row", F.explode(terms).alias("term"))
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(least, highest))
+    n_term = written(n_term, "term_counts")
+    bits = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
+    passes = (F.col("n_et") >= least) & (bits >= share * known)
+    of_held = rows.join(held.select("_pii_row").distinct(), "_pii_row", "left_semi").select("_pii_row", F.explode(terms).alias("term"))
+    of_held = written(of_held.join(n_term, "term"), "held_terms")
+    pairs = of_held.join(held, "_pii_row").filter("n_t <= most").groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
+    likely = written(pairs.filter(passes).drop("n_et"), "likely")
+
+    own = written(words.join(likely.select("term").distinct(), "term").groupBy("_pii_row").agg(F.collect_set("term").alias("_own")), "own_terms")
+    sought = F.filter(matches(old, TERM), lambda t: F.array_contains(F.col("_own"), F.lower(t["value"])))
+    clear = F.filter(sought, lambda t: ~F.exists("_pii", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    placed = rows.select("_pii_row", "_pii", F.col(f"`{text}`")).join(own, "_pii_row").select("_pii_row", F.explode(clear).alias("t"))
+    placed = written(placed.select("_pii_row", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")), "placed")
+
+    n_both = placed.select("_pii_row", "term").distinct().join(held.select("_pii_row", "entity"), "_pii_row")
+    n_both = n_both.join(likely, ["entity", "term"]).groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
+    telling = written(n_both.filter(passes).select("term").distinct(), "telling")
+    marked = placed.join(telling, "term").groupBy("_pii_row").agg(F.collect_list(F.struct("start", "end")).alias("e"))
+    return marked.select("_pii_row", F.array_sort("e").alias("_terms"))
 
 
 def all_spans() -> Column:
@@ -163,8 +167,8 @@ def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, shar
     """The rows with every span replaced by its kind in brackets; disclosing terms by a class, or by nothing."""
     names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
     text = f"_in{names.index(text)}"
-    dirty = found_in(docs, text)
-    terms = disclosing(docs, dirty, text, share, least)
+    rows = found_in(docs, text)
+    terms = disclosing(rows, text, share, least)
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     old = F.col(f"`{text}`")
 
@@ -178,18 +182,15 @@ def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, shar
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
 
     built = F.aggregate(all_spans(), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substr(old, a["at"] + 1, F.length(old))))
-    cleaned = dirty.join(terms, "_pii_row", "left").select(*[built.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
-    return docs.filter(F.size(base_spans(old)) == 0).unionByName(cleaned).toDF(*names)
+    new = F.when(F.size(all_spans()) == 0, old).otherwise(built)
+    return rows.join(terms, "_pii_row", "left").select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
 
 
 @query("op2_pii")
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    dirty = found_in(docs, "text")
-    marked = dirty.join(disclosing(docs, dirty, "text"), "_pii_row", "left").withColumn("_all", all_spans())
+    rows = found_in(docs, "text")
+    marked = rows.drop("text").join(disclosing(rows, "text"), "_pii_row", "left").withColumn("_all", all_spans())
     number = lambda k: F.size(F.filter("_pii", lambda s: s["k"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
-    found = marked.select("doc_id", *counts, F.sha2(listed(F.col("_pii")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
-    zero = [F.lit(0).cast("long").alias(f"n_{name}") for name in KINDS[:4]]
-    clean = docs.filter(F.size(base_spans(F.col("text"))) == 0).select("doc_id", *zero, F.sha2(F.lit(""), 256).alias("base_sha256"), F.lit("").alias("spans"))
-    return clean.unionByName(found)
+    return marked.select("doc_id", *counts, F.sha2(listed(F.col("_pii")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))

@@ -92,3 +92,17 @@ def test_sanitised_text(spark):
     hinted = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[-75:])], "doc_id long, text string")
     new = {r.doc_id: r.text for r in p.sanitised(hinted).collect()}
     assert new[0] == "the [WORD] of [EMAIL] is here, the end" and "gateway77" not in new[6]
+
+
+def test_telling_terms_are_marked_wherever_they_stand(spark, tmp_path):
+    far = " of the day and then" * 10
+    rows = [f"mail ann.lee@corp.org{far} Lighthouse{far} lighthouse end" for _ in range(6)]
+    rows += ["the lighthouse stands alone"] + ["of the day and then mail end stands alone" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: r.spans for r in p.op2_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(rows):
+        terms = {tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x.startswith("term")}
+        assert terms == {m.span() for m in re.finditer("lighthouse", t.lower())}
+    new = {r.doc_id: r.text for r in p.sanitised(df).collect()}
+    assert new[6] == "the [WORD] stands alone" and new[0] == f"mail [EMAIL]{far} [WORD]{far} [WORD] end" and new[7] == rows[7]
