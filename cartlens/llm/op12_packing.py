@@ -26,13 +26,13 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +44,13 @@ from cartlens.llm.registry import query, table
 
 POOL_ITEMS = 2048
 POOL_SEQUENCES = 64
-CACHE = 300_000
+CACHE = 500_000
 END_ID = 2
 
 #: Fixed value: the splitting rule of the lower-case vocabulary with word ends.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Code points whose classes, cases and compositions don't depend on the Unicode version or on neighbours (capital sigma).
-SETTLED = "\\u0000-\\u001b\\u0020-\\u03a2\\u03a4-\\u052f\\u2010-\\u205f\\u3000-\\u3096\\u30a0-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3"
-#: Separators that only Python takes for white space.
-CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Code points whose classes, cases and compositions don't depend on the Unicode version or on neighbours (as capital sigma's).
+SETTLED = "\\u0000-\\u03a2\\u03a4-\\u052f\\u2010-\\u205f\\u3000-\\u3096\\u30a0-\\u30ff\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 
 
 @dataclass(frozen=True)
@@ -70,18 +68,40 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Chunks(dict):
-    """Numbers of distinct chunks, dealt as they are first seen; ``fresh`` are those not encoded yet."""
+class Numbers(dict):
+    """Numbers of distinct strings, dealt as they are first seen; ``fresh`` are those not handled yet."""
 
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = number = len(self)
-        self.fresh.append(chunk)
+    def __missing__(self, value: str) -> int:
+        self[value] = number = len(self)
+        self.fresh.append(value)
         return number
 
+    def of(self, values: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, values), np.int64, len(values))
+
+    def news(self) -> list[str]:
+        fresh, self.fresh = self.fresh, []
+        return fresh
+
+
+class Lists:
+    """Id lists by number, one behind the other."""
+
+    def __init__(self):
+        self.flat, self.cuts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
+        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(sizes)])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbered lists, and where each list ends."""
+        return gathered(self.flat, self.cuts, numbers), np.cumsum(np.diff(self.cuts)[numbers])
+
 
 class Encoder:
     """Token ids of texts as the tokenizers library gives them. Made in each task from the tokenizer's JSON."""
@@ -94,7 +114,7 @@ class Encoder:
         parsed["truncation"] = parsed["padding"] = None
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words = regex.compile(PATTERN)
+        self.words = regex.compile(PATTERN + "|\n")
         self.unsettled = regex.compile(f"[^{SETTLED}]")
         self.rules = Tokenizer.from_str(json.dumps(parsed | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.model = Tokenizer.from_str(json.dumps(parsed | {"added_tokens": [], "normalizer": None, "pre_tokenizer": None}))
@@ -102,46 +122,71 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.chunks, self.ids_of_word = Chunks(), {}
-        self.flat, self.cuts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.chunk_numbers, self.chunk_ids = Numbers(), Lists()
+        self.word_numbers, self.word_ids = Numbers(), Lists()
 
     def words_of(self, chunk: str) -> list[str]:
+        """The words of a chunk that the fast way cannot split."""
         if self.cut is not None and any(s in chunk for s in self.special):
-            return [w for part in self.cut.split(chunk) for w in ([part] if part in self.special else self.plain_words(part))]
-        return self.plain_words(chunk)
-
-    def plain_words(self, chunk: str) -> list[str]:
-        if self.unsettled.search(chunk):
-            normal = self.rules.normalizer.normalize_str(chunk)
-            return [normal[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
-        return self.words.findall(unicodedata.normalize("NFC", chunk).lower())
+            return [w for part in self.cut.split(chunk) for w in ([part] if part in self.special else self.words_of(part))]
+        normal = self.rules.normalizer.normalize_str(chunk)
+        return [normal[a:b] for _, (a, b) in self.rules.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def lines(self, chunks: list[str]) -> list[str]:
+        """The words of all chunks, a line feed behind those of each."""
+        whole = "\n".join([*chunks, ""])
+        if self.unsettled.search(whole) or any(s in whole for s in self.special):
+            odd = [bool(self.unsettled.search(c)) or any(s in c for s in self.special) for c in chunks]
+            plain = iter(self.lines([c for c, o in zip(chunks, odd) if not o]))
+            out = []
+            for chunk, o in zip(chunks, odd):
+                if o:
+                    out += [*self.words_of(chunk), "\n"]
+                else:
+                    for word in plain:
+                        out.append(word)
+                        if word == "\n":
+                            break
+            return out
+        return self.words.findall(unicodedata.normalize("NFC", whole).lower())
+
+    def learn_words(self) -> None:
+        new = self.word_numbers.news()
+        if not new:
+            return
+        done = self.model.encode([w for w in new if w not in self.special and w != "\n"], is_pretokenized=True, add_special_tokens=False)
+        counts, flat = np.bincount(np.array(done.word_ids, np.int64), minlength=len(new)), np.array(done.ids, np.uint32)
+        sizes, at = [], 0
+        for w in [w for w in new if w in self.special or w == "\n"]:  # few: put in where they stand
+            k = new.index(w)
+            sizes.append((k, [self.special[w]] if w in self.special else []))
+        for k, own in sorted(sizes):
+            at = int(counts[:k].sum())
+            flat = np.insert(flat, at, own)
+            counts = np.insert(counts, k, len(own))
+        self.word_ids.append(flat, counts[: len(new)])
 
     def learn(self) -> None:
         """Encodes the chunks not seen before."""
-        fresh, self.chunks.fresh = self.chunks.fresh, []
+        fresh = self.chunk_numbers.news()
         if not fresh:
             return
-        split = [self.words_of(c) for c in fresh]
-        known = self.ids_of_word
-        new = list({w for words in split for w in words if w not in known})
-        plain = [w for w in new if w not in self.special]
-        known.update((w, [self.special[w]]) for w in new if w in self.special)
-        known.update((w, e.ids) for w, e in zip(plain, self.model.encode_batch_fast(plain, add_special_tokens=False)))
-        ids = [[i for w in words for i in known[w]] for words in split]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks) > CACHE:
+        places = self.word_numbers.of(self.lines(fresh))
+        self.learn_words()
+        flat, ends = self.word_ids.gather(places)
+        last = ends[places == self.word_numbers["\n"]]
+        self.chunk_ids.append(flat, np.diff(last, prepend=0))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        if len(self.chunk_numbers) > CACHE:
             self.forget()
-        number = self.chunks.__getitem__
-        split = [re.split("[ \t\n\r\x0b\x0c]+", t) if any(c in t for c in CONTROLS) else t.split() for t in texts]
-        place = [np.fromiter(map(number, s), np.int64, len(s)) for s in split]
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()  # only distinct chunks leave Arrow
+        places = self.chunk_numbers.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         self.learn()
-        size = np.diff(self.cuts)
-        flat = gathered(self.flat, self.cuts, np.concatenate(place)) if place else self.flat[:0]
-        ends = np.cumsum([int(size[p].sum()) for p in place])
-        return np.split(flat, ends[:-1]) if place else []
+        flat, ends = self.chunk_ids.gather(places)
+        cuts = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.split(flat, cuts[1:-1]) if len(texts) else []
 
 
 class Example:
@@ -333,8 +378,7 @@ def packed(
                 return
             for a, b in batches_of(batch.column(1)):
                 part = batch.slice(a, b - a)
-                texts = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for k, own, m in zip(part.column(0).to_pylist(), texts, part.column(2).to_pylist()):
+                for k, own, m in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), part.column(2).to_pylist()):
                     yield Example(k, np.append(own, np.uint32(end_id)), m)
 
         for batch in batches:

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -56,8 +57,9 @@ def test_ids_are_those_of_the_library():
     texts = ODD + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) for _ in range(800)]
     with open(p.tokenizer_path(), encoding="utf-8") as f:
         encoder = p.Encoder(f.read())
-    got = encoder.encode([t or "" for t in texts])
-    for text, ids, want in zip(texts, got, whole(texts)):
+    got = encoder.encode(pa.array(texts, pa.string())) + encoder.encode(pa.array([None, *texts, ""], pa.string()).slice(1, len(texts)))
+    assert len(got) == 2 * len(texts) and encoder.encode(pa.array([], pa.string())) == []
+    for text, ids, want in zip(texts + texts, got, 2 * whole(texts)):
         assert ids.tolist() == want[:-1], repr(text)
 
 
