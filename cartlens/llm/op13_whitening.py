@@ -252,6 +252,8 @@ class Slicer:
 
 def leading(matrix: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Up to ``most`` largest eigenvalues that are not zero, falling, and their unit vectors as columns."""
+    if not matrix.any():
+        return np.zeros(0), np.zeros((len(matrix), 0))
     slicer, values = Slicer(matrix), []
     floor = max(slicer.round, EPS * len(matrix) * float(np.trace(slicer.matrix)))
     while len(values) < min(most, len(matrix)) and slicer.count(floor) > len(values):
