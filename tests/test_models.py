@@ -131,3 +131,33 @@ def test_clusters(spark):
     pts, shares = cl.pca2(v)
     parts = {r.component: r.explained_ratio for r in shares.collect()}
     assert sum(parts.values()) == pytest.approx(1) and parts["pc1"] >= parts["pc2"]
+
+
+def test_askers_restrict_who_asks(spark):
+    df = spark.createDataFrame(points(4, 200, "round"))
+    every = {r["id"]: r["near"] for r in nearest_neighbours(df, P, NAMES, 4, 16).collect()}
+    some = {r["id"]: r["near"] for r in nearest_neighbours(df, P, NAMES, 4, 16, df.filter(f"{P} % 7 = 0").select(F.col(P).alias("id"))).collect()}
+    assert some == {i: near for i, near in every.items() if i % 7 == 0}
+
+
+def test_few_points_have_few_neighbours(spark):
+    df = spark.createDataFrame(points(4, 3, "round"))
+    assert {len(r["near"]) for r in nearest_neighbours(df, P, NAMES, 5).collect()} == {2}
+    assert nearest_neighbours(df.limit(0), P, NAMES, 5).count() == 0
+
+
+def test_visited_cells_stay_bounded_as_round_data_grows(spark, monkeypatch):
+    from cartlens.operators import neighbours as nb
+
+    visits = []
+    real = nb.asked
+    monkeypatch.setattr(nb, "asked", lambda asks, *rest: visits.append(asks.count()) or real(asks, *rest))
+    per_point = []
+    for n in (1000, 8000):
+        visits.clear()
+        nearest_neighbours(spark.createDataFrame(points(6, n, "round")), P, NAMES, 5, 64)
+        per_point.append(sum(visits) / n)
+    assert per_point[1] < 1.5 * per_point[0] and per_point[1] < 0.2 * 8000 / 64
+    visits.clear()
+    nearest_neighbours(spark.createDataFrame(points(6, 2000, "copies")), P, NAMES, 5, 64)
+    assert sum(visits) < 20 * 2000
