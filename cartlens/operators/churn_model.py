@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,13 +93,14 @@ def ml_folds(df: DataFrame, folds: int = 5, seed: int = 42, key: str = PERSON) -
 # --- oversampling ----------------------------------------------------------------------------
 
 def ml_smote(
-    train: DataFrame, names: Sequence[str], k: int = 5, seed: int = 42, key: str = PERSON, block_rows: int = 2048
+    train: DataFrame, names: Sequence[str], k: int = 5, seed: int = 42, key: str = PERSON, block_rows: int = 2048,
+    friends: DataFrame | None = None,
 ) -> DataFrame:
     """The rows plus made-up ones of the smaller class until both classes are equal.
 
     Each new row lies between a drawn row and one of its ``k`` nearest in class. Drawn row, neighbour
     and position come from hashes of the new row's number. Columns ``synthetic``, ``parent_a`` and
-    ``parent_b`` tell where a row comes from.
+    ``parent_b`` tell where a row comes from. ``friends`` (id, friends) gives neighbours found before.
     """
     counts = {r[TARGET]: r["count"] for r in train.groupBy(TARGET).count().collect()}
     own = train.select(key, TARGET, *names, F.lit(0).alias("synthetic"), *[
@@ -112,7 +113,7 @@ def ml_smote(
     if missing == 0 or have < 2:
         return own
     minority = train.filter(F.col(TARGET) == small).select(key, *names)
-    near = nearest_neighbours(minority, key, names, k, block_rows).select("id", F.col("near.id").alias("friends"))
+    near = friends if friends is not None else nearest_neighbours(minority, key, names, k, block_rows).select("id", F.col("near.id").alias("friends"))
     parents = written(
         global_rank(minority.join(near, F.col(key) == F.col("id")).drop("id"), [key]).drop("group_size"), "smote-parents"
     )
@@ -135,6 +136,50 @@ def ml_smote(
     return own.unionByName(made)
 
 
+def smaller_class(rows: DataFrame) -> float | None:
+    """The label with fewer rows; None where there is one label, or both are equal."""
+    counts = {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
+    if len(counts) < 2 or len(set(counts.values())) == 1:
+        return None
+    return min(counts, key=lambda c: (counts[c], c))
+
+
+def fold_friends(
+    dealt: DataFrame, names: Sequence[str], folds: int, k: int = 5, margin: int = 9, key: str = PERSON, block_rows: int = 2048
+) -> dict[int, DataFrame]:
+    """(id, friends) of the smaller class for each fold's learning side, from one search over the whole class.
+
+    The search keeps ``margin`` neighbours more than are needed; a fold drops those it holds out. Only points left
+    with fewer than ``k`` (or than there are) are sought again, among that fold's learning rows. Folds whose smaller
+    class differs from the whole's are left out.
+    """
+    small = smaller_class(dealt)
+    if small is None:
+        return {}
+    minority = written(dealt.filter(F.col(TARGET) == small).select(key, "fold", *names), "cv-minority")
+    found = nearest_neighbours(minority, key, names, k + margin, block_rows)
+    at = minority.select(F.col(key).alias("id"), F.col("fold").alias("own_fold"))
+    pairs = found.select("id", F.posexplode("near").alias("place", "near")).select("id", "place", F.col("near.id").alias("friend"))
+    told = pairs.join(at.select(F.col("id").alias("friend"), F.col("own_fold").alias("fold")), "friend")
+    lists = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "friend", "fold"))).alias("near"))
+    lists = written(at.join(lists, "id", "left"), "cv-near")
+    sizes = {(r["fold"], r[TARGET]): r["count"] for r in dealt.groupBy("fold", TARGET).count().collect()}
+    out = {}
+    for fold in range(folds):
+        left = {c: sum(n for (f, l), n in sizes.items() if f != fold and l == c) for c in (0.0, 1.0)}
+        if left[small] >= left[1.0 - small]:
+            continue
+        kept = F.slice(F.filter("near", lambda e: e["fold"] != fold), 1, k)
+        own = written(lists.filter(F.col("own_fold") != fold).select("id", F.coalesce(kept["friend"], F.array()).alias("friends")), "cv-friends")
+        few = own.filter(F.size("friends") < min(k, left[small] - 1))
+        if not few.isEmpty():
+            again = nearest_neighbours(minority.filter(F.col("fold") != fold), key, names, k, block_rows, askers=few)
+            again = again.select("id", F.col("near.id").alias("friends"))
+            own = written(own.join(few.select("id"), "id", "left_anti").unionByName(again), "cv-friends")
+        out[fold] = own
+    return out
+
+
 # --- learners --------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -184,8 +229,10 @@ def fit_learner(
 
 
 def predict(model: PipelineModel, rows: DataFrame, key: str = PERSON) -> DataFrame:
+    """Key, label (where the rows have one), prediction and score."""
+    known = [TARGET] if TARGET in rows.columns else []
     return model.transform(rows).select(
-        key, TARGET, "prediction", vector_to_array("probability").getItem(1).alias("score")
+        key, *known, "prediction", vector_to_array("probability").getItem(1).alias("score")
     )
 
 
@@ -254,21 +301,49 @@ def roc_auc(curve: DataFrame) -> DataFrame:
 
 
 def evaluate(predicted: DataFrame) -> dict[str, float]:
-    row = ml_test_metrics(predicted).first().asDict()
-    judge = BinaryClassificationEvaluator(
-        rawPredictionCol="score", labelCol=TARGET, metricName="areaUnderROC", numBins=0
+    """All metrics of one model's predictions."""
+    row = all_metrics(predicted, []).first()
+    return {m: float(row[m]) for m in METRICS}
+
+
+def all_metrics(predicted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The five metrics per group of predictions, from counts per score: one aggregation and one global order.
+
+    ``by`` names columns with a short list of values (model, fold). The area counts, for each negative, the positives
+    above it and half of those level with it.
+    """
+    label, guess = F.col(TARGET) == 1, F.col("prediction") == 1
+    counts = written(predicted.groupBy(*by, "score").agg(
+        F.count_if(label & guess).alias("tp"), F.count_if(~label & guess).alias("fp"),
+        F.count_if(label & ~guess).alias("fn"), F.count_if(~label & ~guess).alias("tn"),
+    ).withColumns({"pos": F.col("tp") + F.col("fn"), "neg": F.col("fp") + F.col("tn")}), "score-counts")
+    order = [*by, F.desc("score")]
+    curve = running_totals(counts, order, {"seen": "pos"})
+    # a group covers neighbouring scores in the order, so its first running total tells what lies before it
+    area = (F.col("neg").cast("decimal(38,0)") * (2 * F.col("seen") - F.col("pos"))).alias("_twice")
+    sums = curve.select("*", area).groupBy(*by).agg(
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "pos", "neg")], F.sum("_twice").alias("_twice"),
+        F.min(F.col("seen") - F.col("pos")).alias("_before"),
+    )
+    safe = lambda a, b: F.coalesce(plain_ratio(a, b), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    own = F.col("_twice") - 2 * F.col("_before") * F.col("neg").cast("decimal(38,0)")
+    return sums.select(
+        *by, safe(tp + tn, tp + fp + fn + tn).alias("accuracy"), safe(tp, tp + fp).alias("precision"),
+        safe(tp, tp + fn).alias("recall"), _f1(safe(tp, tp + fp), safe(tp, tp + fn)).alias("f1"),
+        plain_ratio(own.cast("double") / 2.0, F.col("pos").cast("double") * F.col("neg")).alias("roc_auc"),
     )
-    return {**row, "roc_auc": float(judge.evaluate(predicted))}
 
 
-def ml_cv(
+def cv_predictions(
     train: DataFrame, names: Sequence[str], models: Sequence[Learner], folds: int = 5, seed: int = 42,
-    smote: bool = True, smote_inside: bool = True, key: str = PERSON, parallelism: int = 4,
+    smote: bool = True, smote_inside: bool = True, key: str = PERSON, parallelism: int = 8,
 ) -> DataFrame:
-    """All metrics per model and fold from one fit each; a few folds run side by side.
+    """model, fold, key, label, prediction, score of every held-out row, written once per fold and model.
 
-    Oversampling happens inside the folds, on the learning side only. ``smote_inside=False`` does it
-    before dealing the folds, which lets made-up rows near a held-out row into its training set.
+    Oversampling happens inside the folds, on the learning side only; the neighbours for all folds come from one search.
+    ``smote_inside=False`` does it before dealing the folds, which lets made-up rows near a held-out row into its
+    training set. Fits of several folds and models run side by side.
     """
     rows = train
     if smote and not smote_inside:
@@ -277,21 +352,34 @@ def ml_cv(
         rows = written(made.withColumn(key, number), "cv-rows")
     dealt = written(ml_folds(rows.select(key, TARGET, *names), folds, seed, key), "cv-folds")
     neg, pos = class_counts(train)
+    friends = fold_friends(dealt, names, folds, key=key) if smote and smote_inside else {}
 
-    def run(fold: int) -> list[tuple]:
-        learn, held = dealt.filter(F.col("fold") != fold), dealt.filter(F.col("fold") == fold)
+    def learning(fold: int) -> DataFrame:
+        learn = dealt.filter(F.col("fold") != fold)
         if smote and smote_inside:
-            learn = written(ml_smote(learn, names, seed=seed, key=key), "cv-learn")
-        out = []
-        for m in models:
-            scores = evaluate(predict(fit_learner(m, learn, names, seed, neg / pos if pos else 1.0), held, key))
-            out.append((m.name, fold, *[scores[x] for x in METRICS]))
-        return out
+            learn = written(ml_smote(learn, names, seed=seed, key=key, friends=friends.get(fold)).select(TARGET, *names), "cv-learn")
+        return learn
+
+    def run(task: tuple[int, Learner, DataFrame]) -> DataFrame:
+        fold, model, learn = task
+        fit = fit_learner(model, learn, names, seed, neg / pos if pos else 1.0)
+        scored = predict(fit, dealt.filter(F.col("fold") == fold), key)
+        return written(scored.select(F.lit(model.name).alias("model"), F.lit(fold).alias("fold"), key, TARGET, "prediction", "score"), "cv-scores")
+
+    target = inheritable_thread_target(train.sparkSession)
+    with ThreadPool(parallelism) as pool:
+        sides = pool.map(target(learning), range(folds))
+        parts = pool.map(target(run), [(f, m, sides[f]) for m in models for f in range(folds)], chunksize=1)
+    return reduce(DataFrame.unionByName, parts)
+
 
-    with ThreadPool(min(parallelism, folds)) as pool:
-        results = [row for rows_ in pool.map(inheritable_thread_target(train.sparkSession)(run), range(folds)) for row in rows_]
-    schema = "model string, fold int, " + ", ".join(f"{m} double" for m in METRICS)
-    return train.sparkSession.createDataFrame(results, schema)
+def ml_cv(
+    train: DataFrame, names: Sequence[str], models: Sequence[Learner], folds: int = 5, seed: int = 42,
+    smote: bool = True, smote_inside: bool = True, key: str = PERSON, parallelism: int = 8,
+) -> DataFrame:
+    """All metrics per model and fold from one fit each and one pass over all predictions."""
+    predictions = cv_predictions(train, names, models, folds, seed, smote, smote_inside, key, parallelism)
+    return all_metrics(predictions, ["model", "fold"])
 
 
 def ml_comparison(cv: DataFrame, tests: dict[str, dict[str, float]]) -> DataFrame:
@@ -322,6 +410,37 @@ def ml_importance(model: PipelineModel, names: Sequence[str], like: DataFrame, t
     return ordered.limit(top) if top else ordered
 
 
+def with_coders(model: PipelineModel, table: DataFrame, names: Sequence[str]) -> PipelineModel:
+    """The model behind stages that make its inputs from a raw feature table, as ``ml_table`` does.
+
+    Labels get their alphabetical codes in ``table``, a missing one counting as 'unknown' and one not seen there as the
+    code after the last; gaps in numbers become zero. Codes and names are parts of the stages, so they are saved along.
+    """
+    kinds = dict(table.dtypes)
+    texts = [c for c in names if kinds[c] == "string"]
+    label = lambda c: f"coalesce(`{c}`, 'unknown') AS `{c}__label`"
+    number = lambda c: f"coalesce(CAST(`{c}` AS DOUBLE), 0.0) AS `{c}`"
+    parts = ", ".join(label(c) if c in texts else number(c) for c in names)
+    left_out = ", ".join(f"`{c}`" for c in names)
+    stages = [SQLTransformer(statement=f"SELECT * EXCEPT ({left_out}), {parts} FROM __THIS__")]
+    if texts:
+        coder = StringIndexer(
+            inputCols=[f"{c}__label" for c in texts], outputCols=texts, stringOrderType="alphabetAsc", handleInvalid="keep"
+        )
+        stages.append(coder.fit(stages[0].transform(table)))
+    return PipelineModel([*stages, *model.stages])
+
+
+def model_features(model: PipelineModel) -> list[str]:
+    return next(list(s.getInputCols()) for s in model.stages if isinstance(s, VectorAssembler))
+
+
+def model_labels(model: PipelineModel) -> dict[str, list[str]]:
+    """The labels of each text feature in the order of their codes."""
+    found = [s for s in model.stages if isinstance(s, StringIndexerModel)]
+    return {c: list(labels) for s in found for c, labels in zip(s.getOutputCols(), s.labelsArray)}
+
+
 def ml_save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -1,12 +1,15 @@
 """Registered queries: clustering and churn models.
 
 Fitted models depend on solvers and are checked by their invariants in the tests; everything around
-them is checked by value on scores and labels made from the keys. Tree counts are kept small here
-and stand at 200 in the job.
+them is checked by value on scores and labels made from the keys. Tree counts are those of the job.
 """
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cartlens import fixed_values as fv
@@ -19,7 +22,7 @@ from cartlens.plans import oracle as o
 from cartlens.plans.registry import FEATURES, labels, on, query, wide_features
 from cartlens.session import scratch_path, written
 
-TREES = 20
+TREES = 200
 CLUSTER = cl.CLUSTER_FEATURES
 
 
@@ -211,10 +214,33 @@ def _(s):
     return cm.ml_cv(train, names, cm.learners(TREES))
 
 
+_DEALT = _GUESS + f""", fo AS (SELECT gu.*, (row_number() OVER (PARTITION BY is_churned ORDER BY {_UNIT('fold42:')}, customer_unique_id) - 1) % 5 AS fold FROM gu),
+  mo AS (SELECT unnest(['as scored', 'turned round']) AS model),
+  pr AS (SELECT model, fold, is_churned, CASE WHEN model = 'as scored' THEN score ELSE round(1 - score, 3) END AS score FROM fo CROSS JOIN mo),
+  ct AS (SELECT model, fold, score, count(CASE WHEN is_churned = 1 THEN 1 END) AS pos, count(CASE WHEN is_churned = 0 THEN 1 END) AS neg FROM pr GROUP BY 1, 2, 3),
+  rt AS (SELECT *, sum(pos) OVER (PARTITION BY model, fold ORDER BY score DESC) AS seen FROM ct),
+  me AS (SELECT model, fold, CAST(sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN score >= 0.5 THEN neg ELSE 0 END) AS DOUBLE) AS fp,
+    CAST(sum(CASE WHEN score < 0.5 THEN pos ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN score < 0.5 THEN neg ELSE 0 END) AS DOUBLE) AS tn,
+    sum(neg * (seen - pos / CAST(2 AS DOUBLE))) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS roc_auc FROM rt GROUP BY 1, 2)"""
+
+
+@query("ml_cv_metrics", on(FEATURES + _DEALT, """SELECT model, fold, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(roc_auc, 9) AS roc_auc FROM me"""))
+def _(s):
+    """The metrics of every model and fold from stored predictions, two sets of scores made from keys."""
+    dealt = cm.ml_folds(guesses(s).drop("prediction"))
+    turned = dealt.withColumn("score", F.round(1 - F.col("score"), 3)).withColumn("model", F.lit("turned round"))
+    both = dealt.withColumn("model", F.lit("as scored")).unionByName(turned)
+    stored = written(both.withColumn("prediction", (F.col("score") >= 0.5).cast("double")), "predictions")
+    return cm.all_metrics(stored, ["model", "fold"]).select("model", "fold", *[F.round(x, 9).alias(x) for x in cm.METRICS])
+
+
 def compared(s):
     train, test, names = split_sides(s)
     models = cm.learners(TREES)
-    fits = {m.name: cm.fit_learner(m, train, names) for m in models}
+    target = inheritable_thread_target(s.spark)
+    with ThreadPool(len(models)) as pool:
+        fits = dict(pool.map(target(lambda m: (m.name, cm.fit_learner(m, train, names))), models))
     tests = {name: cm.evaluate(cm.predict(fit, test)) for name, fit in fits.items()}
     return cm.ml_comparison(cm.ml_cv(train, names, models), tests), fits, test
 
@@ -223,10 +249,22 @@ query("ml_comparison")(lambda s: compared(s)[0])
 query("ml_select_best")(lambda s: cm.ml_select_best(compared(s)[0]).select("model", "test_auc_roc"))
 
 
-@query("ml_save_model")
+@query("ml_save_model", on(FEATURES + _SPLIT, f"""SELECT customer_unique_id,
+  CASE WHEN customer_unique_id % 3 = 0 THEN (SELECT max(main_category) + 1 FROM ml) ELSE main_category END AS main_category,
+  main_payment_type, {len(_NAMES)} AS features, 1 AS same_score FROM sp WHERE split = 'test'"""))
 def _(s):
-    """Scores of a model after it was saved and loaded again."""
-    train, test, names = split_sides(s)
-    path = scratch_path(s.spark, "model")
-    cm.ml_save_model(cm.fit_learner(cm.learners()[0], train, names), path)
-    return cm.predict(cm.ml_load_model(path), test).select(PERSON, F.round("score", 6).alias("score"))
+    """A saved model scores raw rows it has not seen, a third of them with a label that was not there."""
+    raw = labelled(s)
+    df, names = cm.ml_table(raw)
+    split = written(cm.ml_split(written(df, "ml-table")), "split")
+    fit = cm.fit_learner(cm.learners()[0], split.filter(F.col("split") == "train"), names)
+    model, path = cm.with_coders(fit, raw, names), scratch_path(s.spark, "model")
+    cm.ml_save_model(model, path)
+    loaded = cm.ml_load_model(path)
+    label = F.when(F.col(PERSON) % 3 == 0, F.lit("not seen before")).otherwise(F.col("main_category"))
+    fresh = raw.join(split.filter(F.col("split") == "test").select(PERSON), PERSON, "left_semi").drop("is_churned").withColumn("main_category", label)
+    before = cm.predict(model, fresh).select(PERSON, F.col("score").alias("before"))
+    after = loaded.transform(fresh).select(PERSON, *_TEXTS, vector_to_array("probability").getItem(1).alias("score"))
+    return after.join(before, PERSON).select(
+        PERSON, *_TEXTS, F.lit(len(cm.model_features(loaded))).alias("features"), (F.abs(F.col("score") - F.col("before")) < 1e-12).alias("same_score")
+    )

@@ -161,3 +161,58 @@ def test_visited_cells_stay_bounded_as_round_data_grows(spark, monkeypatch):
     visits.clear()
     nearest_neighbours(spark.createDataFrame(points(6, 2000, "copies")), P, NAMES, 5, 64)
     assert sum(visits) < 20 * 2000
+
+
+def test_metrics_of_all_groups_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"model": rng.choice(["x", "y"], 600), "fold": rng.integers(0, 3, 600), m.TARGET: (rng.random(600) < 0.3).astype(float)})
+    pdf["score"] = np.round(0.3 * pdf[m.TARGET] + 0.7 * rng.random(600), 1)
+    pdf["prediction"] = (pdf["score"] >= 0.5).astype(float)
+    got = m.all_metrics(spark.createDataFrame(pdf).repartition(5), ["model", "fold"]).toPandas().set_index(["model", "fold"])
+    assert len(got) == 6
+    for at, part in pdf.groupby(["model", "fold"]):
+        y, s, g = part[m.TARGET] == 1, part["score"], part["prediction"] == 1
+        tp, fp, fn = (y & g).sum(), (~y & g).sum(), (y & ~g).sum()
+        pairs = [(1.0 if a > b else 0.5 if a == b else 0.0) for a in s[y] for b in s[~y]]
+        want = [(y == g).mean(), tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), np.mean(pairs)]
+        assert np.allclose(got.loc[at, list(m.METRICS)].to_numpy(float), want)
+
+
+def test_one_search_serves_all_folds(spark, monkeypatch):
+    pdf = labelled(seed=8, n=150)
+    dealt = m.ml_folds(spark.createDataFrame(pdf), 3).cache()
+    calls = []
+    real = m.nearest_neighbours
+    monkeypatch.setattr(m, "nearest_neighbours", lambda *a, **k: calls.append(1) or real(*a, **k))
+    fold_of = {r[P]: r["fold"] for r in dealt.collect()}
+    small = pdf[pdf[m.TARGET] == 1].set_index(P)[NAMES]
+    for margin, most in ((30, 1), (0, 4)):
+        calls.clear()
+        got = m.fold_friends(dealt, NAMES, 3, margin=margin)
+        assert len(calls) <= most and sorted(got) == [0, 1, 2]
+        for fold, friends in got.items():
+            kept = small[[fold_of[i] != fold for i in small.index]]
+            rows = friends.collect()
+            assert {r["id"] for r in rows} == set(kept.index)
+            for r in rows:
+                d = np.sqrt(((kept - kept.loc[r["id"]]) ** 2).sum(axis=1)).drop(r["id"])
+                assert len(set(r["friends"])) == min(5, len(d))
+                assert np.allclose(sorted(d[r["friends"]]), np.sort(d)[:5])
+
+
+def test_saved_model_codes_raw_rows(spark, tmp_path):
+    pdf = labelled(n=200)
+    pdf["kind"] = np.where(pdf[P] % 5 == 0, None, np.where(pdf[P] % 2 == 0, "b", "a"))
+    pdf.loc[::9, "b"] = np.nan
+    raw = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), f"{P} bigint, a double, b double, c double, {m.TARGET} double, kind string")
+    table, names = m.ml_table(raw)
+    assert sorted(names) == ["a", "b", "c", "kind"]
+    fit = m.fit_learner(m.learners()[0], table, names)
+    m.ml_save_model(m.with_coders(fit, raw, names), str(tmp_path / "model"))
+    loaded = m.ml_load_model(str(tmp_path / "model"))
+    assert m.model_features(loaded) == names and m.model_labels(loaded) == {"kind": ["a", "b", "unknown"]}
+    want = {r[P]: r["score"] for r in m.predict(fit, table).collect()}
+    got = {r[P]: r["score"] for r in m.predict(loaded, raw.drop(m.TARGET)).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    other = loaded.transform(raw.withColumn("kind", F.lit("new"))).select("kind").distinct().collect()
+    assert [r["kind"] for r in other] == [3.0]
