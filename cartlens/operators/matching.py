@@ -14,13 +14,15 @@ rows per score, whatever share of the data holds that score.
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlens.operators.ordered import running_totals
+from cartlens.operators.ordered import range_sorted
 from cartlens.session import written
 
+_LOG_PARTS = 24
 
 def _first_per_score(rows: DataFrame, k: int) -> DataFrame:
     """The ``k`` smallest ids per score; the rank limit also applies before the shuffle."""
@@ -38,93 +40,101 @@ def match_candidates(
 ) -> DataFrame:
     """(t_id, place, c_ids, gaps): up to ``k`` controls per treated row within the caliper, nearest first.
 
-    Treated and controls share one global order by score. A running count of controls gives each
-    control its rank and each treated row the number ``c`` of controls below it. With at most ``k``
-    controls per score, the ``k`` nearest lie among the ranks c-2k+2 .. c+k. Treated rows with the
-    same ``c`` share that neighbourhood, so it is built once per different ``c``. ``place`` numbers
-    the treated rows in score order.
+    Treated and controls share one global order by score, in which a running count ranks the controls. With at most
+    ``k`` controls per score, the ``k`` nearest of a treated row with ``c`` controls below it lie among the ranks
+    c-2k+2 .. c+k. So each control gathers its neighbours by a window of bounded length, and treated rows carry on the
+    gathering of the last control before them, however many stand in one gap. Windows stay within the partitions of
+    the order; a halo of at most 3k controls a partition, and a rank 0 before the first, serve their borders.
+    ``place`` numbers the treated rows in score order.
     """
     flagged = F.col(treated) == 1
-    side = lambda rows_, control: rows_.withColumns(
-        {"is_control": F.lit(control), "is_treated": F.lit(1 - control)}
-    )
-    both = side(_side(rows, flagged, id_col, score, k), 0).unionByName(
-        side(_side(rows, ~flagged, id_col, score, k), 1)
-    )
-    line = written(
-        running_totals(both, ["score", "is_control", "id"], {"below": "is_control", "place": "is_treated"}),
-        "match-line",
-    )
-    controls = line.filter(F.col("is_control") == 1).select(
-        F.col("below").alias("c_rank"), F.struct(F.col("id").alias("c_id"), F.col("score").alias("c_score")).alias("c")
-    )
-    asking = line.filter(F.col("is_control") == 0).select(
-        F.col("id").alias("t_id"), F.col("score").alias("t_score"), "below", "place"
-    )
-    spots = asking.select("below").distinct().withColumn(
-        "c_rank", F.explode(F.sequence(F.col("below") - (2 * k - 2), F.col("below") + k))
-    )
-    near = (
-        spots.join(controls, "c_rank").groupBy("below").agg(F.collect_list("c").alias("around"))
-    )
+    side = lambda rows_, control: rows_.withColumn("is_control", F.lit(control))
+    both = side(_side(rows, flagged, id_col, score, k), 0).unionByName(side(_side(rows, ~flagged, id_col, score, k), 1))
+    line = range_sorted(both, ["score", "is_control", "id"])
+    parts = line.groupBy("_part").agg(F.sum("is_control").alias("controls"), F.sum(1 - F.col("is_control")).alias("askers"))
+    earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = written(parts.select(
+        "_part", "controls", F.coalesce(F.sum("controls").over(earlier), F.lit(0)).alias("c_before"),
+        F.coalesce(F.sum("askers").over(earlier), F.lit(0)).alias("t_before"),
+    ), "match-parts")
+    so_far = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = written(line.join(F.broadcast(sums), "_part").select(
+        "_part", "id", "score", "is_control", (F.sum("is_control").over(so_far) + F.col("c_before")).alias("rank"),
+        (F.sum(1 - F.col("is_control")).over(so_far) + F.col("t_before")).alias("place"),
+    ), "match-line")
+    before = F.sequence(F.col("c_before") - (2 * k - 2), F.col("c_before"))
+    after = F.sequence(F.col("c_before") + F.col("controls") + 1, F.col("c_before") + F.col("controls") + k)
+    needs = sums.select("_part", F.explode(F.filter(F.concat(before, after), lambda r: r >= 0)).alias("rank"))
+    controls = ranked.filter("is_control = 1")
+    halo = controls.select("rank", "id", "score").join(F.broadcast(needs.filter("rank > 0")), "rank").select("_part", "rank", "id", "score")
+    start = needs.filter("rank = 0").select("_part", "rank", F.lit(None).cast(dict(both.dtypes)["id"]).alias("id"), F.lit(None).cast("double").alias("score"))
+    known = controls.select("_part", "rank", "id", "score").unionByName(halo).unionByName(start)
+    some = F.when(F.col("id").isNotNull(), F.struct(F.col("id").alias("c_id"), F.col("score").alias("c_score")))
+    near = F.collect_list(some).over(Window.partitionBy("_part").orderBy("rank").rowsBetween(-(2 * k - 2), k))
+    askers = ranked.filter("is_control = 0").select("_part", "rank", "id", "score", "place", F.lit(None).cast(
+        f"array<struct<c_id: {dict(both.dtypes)['id']}, c_score: double>>").alias("around"), F.lit(1).alias("turn"))
+    gathered = known.withColumns({"around": near, "place": F.lit(None).cast("bigint"), "turn": F.lit(0)})
+    carried = F.last("around", ignorenulls=True).over(
+        Window.partitionBy("_part").orderBy("rank", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    asking = gathered.unionByName(askers).withColumn("around", carried).filter("turn = 1").select(
+        F.col("id").alias("t_id"), F.col("score").alias("t_score"), "place", "around")
     gap = lambda c: F.abs(c["c_score"] - F.col("t_score"))
     within = F.filter(
         F.transform("around", lambda c: F.struct(gap(c).alias("gap"), c["c_id"].alias("c_id"))),
         lambda w: w["gap"] <= caliper,
     )
     return (
-        asking.join(near, "below")
-        .select("t_id", "place", F.slice(F.array_sort(within), 1, k).alias("wishes"))
+        asking.select("t_id", "place", F.slice(F.array_sort(within), 1, k).alias("wishes"))
         .filter(F.size("wishes") > 0)
         .select("t_id", "place", F.col("wishes.c_id").alias("c_ids"), F.col("wishes.gap").alias("gaps"))
     )
 
 
-def _take_turns(block: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one block ask in id order, each from its present wish on; a control says yes once."""
-    block = block.sort_values("t_id")
-    given, turns = set(), []
-    for wishes, turn in zip(block["c_ids"], block["turn"]):
-        while turn <= len(wishes) and wishes[turn - 1] in given:
-            turn += 1
-        if turn <= len(wishes):
-            given.add(wishes[turn - 1])
-        turns.append(turn)
-    return block.assign(turn=turns)
+def _first_turns(wishes: DataFrame, block_rows: int) -> DataFrame:
+    """(t_id, c_id, turn) after the rows of each block of neighbours have settled among themselves, in id order."""
+    id_type = dict(wishes.dtypes)["t_id"]
+    lists = wishes.groupBy(F.floor(F.col("place") / block_rows).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("t_id", "c_ids"))).alias("rows"))
+    free = lambda taken, row: F.get(F.filter(row["c_ids"], lambda c: ~F.coalesce(F.array_contains(taken, c), F.lit(False))), F.lit(0))
+    given = F.aggregate("rows", F.array().cast(f"array<{id_type}>"), lambda taken, row: F.concat(taken, F.array(free(taken, row))))
+    told = lists.select("rows", given.alias("given")).select(F.explode(F.arrays_zip("rows", "given")).alias("e"))
+    return told.filter("e.given is not null").select(
+        F.col("e.rows.t_id").alias("t_id"), F.col("e.given").alias("c_id"),
+        F.array_position(F.col("e.rows.c_ids"), F.col("e.given")).cast("int").alias("turn"))
 
 
-def resolve(candidates: DataFrame, block_rows: int = 8192) -> DataFrame:
+def resolve(candidates: DataFrame, block_rows: int = 1024) -> DataFrame:
     """Deferred acceptance over (t_id, place, c_ids, gaps); gives (t_id, c_id, gap).
 
-    The order in which rows ask does not change the result, so a round first lets blocks of
-    neighbouring treated rows settle among themselves (a block holds at most ``block_rows``), and then
-    settles between blocks: one aggregation and one join on the asked control. Only rows near a block
-    border can still collide there, and every other round moves the borders by half a block. Each
-    round is written before the next; it is over when no row left was just refused.
+    The order in which rows ask does not change the result, so blocks of neighbouring treated rows first settle among
+    themselves. After that only rows that were refused go on: they ask their next control, which compares them with its
+    holder. A control only ever changes to a holder with a smaller id, so acceptances are appended to a log and the
+    holder is the smallest id in it; nothing settled is written again. It is over when nobody was refused.
     """
-    ask = lambda c: F.element_at(c, F.col("turn"))
-    state = written(candidates.withColumn("turn", F.lit(1)), "match-wishes")
-    shift = 0
+    wishes = written(candidates, "match-wishes")
+    log = [written(_first_turns(wishes, block_rows), "match-holders")]
+    contested = log[0].groupBy("c_id").agg(F.min("t_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    refused = log[0].join(contested.select("c_id", "winner"), "c_id").filter("t_id <> winner").select("t_id", "turn")
     while True:
-        numbered = state.withColumn("block", F.floor((F.col("place") + shift) / block_rows))
-        settled = (
-            numbered.groupBy("block").applyInPandas(_take_turns, numbered.schema)
-            .filter(F.col("turn") <= F.size("c_ids"))
-            .select("t_id", "place", "c_ids", "gaps", "turn", ask("c_ids").alias("asked"))
-        )
-        settled = written(settled, "match-block")
-        kept = settled.groupBy("asked").agg(F.min("t_id").alias("winner"))
-        told = settled.join(kept, "asked").withColumn("refused", (F.col("winner") != F.col("t_id")).cast("int"))
-        moved = (
-            told.withColumn("turn", F.col("turn") + F.col("refused"))
-            .filter(F.col("turn") <= F.size("c_ids"))
-            .select("t_id", "place", "c_ids", "gaps", "turn", "refused")
+        ask = F.col("turn") + 1
+        pending = written(
+            wishes.join(refused, "t_id").filter(ask <= F.size("c_ids")).select("t_id", F.element_at("c_ids", ask).alias("c_id"), ask.alias("turn")),
+            "match-pending",
         )
-        state = written(moved, "match-round")
-        if state.filter(F.col("refused") == 1).isEmpty():
-            return state.select("t_id", ask("c_ids").alias("c_id"), ask("gaps").alias("gap"))
-        state = state.drop("refused")
-        shift = block_rows // 2 - shift
+        if pending.isEmpty():
+            break
+        asked = pending.select("c_id").distinct()
+        held = reduce(DataFrame.unionByName, log).join(asked, "c_id").groupBy("c_id").agg(F.min_by(F.struct("t_id", "turn"), "t_id").alias("h"))
+        both = pending.withColumn("fresh", F.lit(True)).unionByName(held.select("h.t_id", "c_id", "h.turn", F.lit(False).alias("fresh")))
+        best = both.groupBy("c_id").agg(F.min("t_id").alias("winner"))
+        told = written(both.join(best, "c_id").withColumn("kept", F.col("t_id") == F.col("winner")), "match-told")
+        log.append(told.filter("fresh and kept").select("t_id", "c_id", "turn"))
+        refused = told.filter(~F.col("kept")).select("t_id", "turn")
+        if len(log) > _LOG_PARTS:
+            log = [written(reduce(DataFrame.unionByName, log), "match-holders")]
+    final = reduce(DataFrame.unionByName, log).groupBy("c_id").agg(F.min_by(F.struct("t_id", "turn"), "t_id").alias("h"))
+    settled = final.select("c_id", "h.t_id", "h.turn")
+    return settled.join(wishes.select("t_id", "gaps"), "t_id").select("t_id", "c_id", F.element_at("gaps", F.col("turn")).alias("gap"))
 
 
 def match_pairs(

@@ -110,3 +110,26 @@ def test_score_is_the_logistic_optimum(spark):
     w = np.polyfit(x, np.log(ps / (1 - ps)), 1)
     # gradient of sum(loss) + w^2/2 vanishes; the intercept is not penalised
     assert abs(np.sum((ps - t) * x) + w[0]) < 1e-2 and abs(np.sum(ps - t)) < 1e-2
+
+
+@pytest.mark.parametrize("order", ["up", "down", "mixed"])
+def test_all_treated_in_one_gap(spark, partitions, order):
+    partitions(7)
+    rng = np.random.default_rng(3)
+    t = np.sort(0.4 + 0.01 * rng.random(1500))
+    t = {"up": t, "down": t[::-1], "mixed": rng.permutation(t)}[order]
+    c = np.concatenate([0.39 * rng.random(40), 0.42 + 0.3 * rng.random(40)])
+    pdf = pd.DataFrame({P: range(1580), "treatment": [1] * 1500 + [0] * 80, "propensity_score": np.concatenate([t, c])})
+    got = matching.match_pairs(spark.createDataFrame(pdf).repartition(4), P, caliper=0.5, k=5)
+    assert pairs_of(got) == serial(pdf, 0.5, 5)
+
+
+def test_only_refused_rows_ask_again(spark, monkeypatch):
+    sizes = []
+    real = matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name="t": (lambda w: sizes.append((name, w.count())) or w)(real(df, name)))
+    pdf = random_study(4, 3000, 0.4, None)
+    got = matching.match_pairs(spark.createDataFrame(pdf), P, caliper=0.05)
+    assert pairs_of(got) == serial(pdf, 0.05, 10)
+    asked = [n for name, n in sizes if name == "match-pending"]
+    assert sum(asked) < 0.1 * dict(sizes)["match-wishes"]
