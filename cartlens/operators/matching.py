@@ -90,46 +90,60 @@ def match_candidates(
     )
 
 
-def _first_turns(wishes: DataFrame, block_rows: int) -> DataFrame:
-    """(t_id, c_id, turn) after the rows of each block of neighbours have settled among themselves, in id order."""
-    id_type = dict(wishes.dtypes)["t_id"]
-    lists = wishes.groupBy(F.floor(F.col("place") / block_rows).alias("block")).agg(
-        F.array_sort(F.collect_list(F.struct("t_id", "c_ids"))).alias("rows"))
-    free = lambda taken, row: F.get(F.filter(row["c_ids"], lambda c: ~F.coalesce(F.array_contains(taken, c), F.lit(False))), F.lit(0))
+def _settled(state: DataFrame, block_rows: int, shift: int) -> DataFrame:
+    """Rows (t_id, place, c_ids, turn) that hold a control after each block of neighbours has settled by itself.
+
+    The rows of a block ask in id order, each from its present wish on; those that find nothing drop out.
+    """
+    id_type = dict(state.dtypes)["t_id"]
+    lists = state.groupBy(F.floor((F.col("place") + shift) / block_rows).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("t_id", "place", "c_ids", "turn"))).alias("rows"))
+    left = lambda row: F.slice(row["c_ids"], row["turn"], F.greatest(F.size(row["c_ids"]) - row["turn"] + 1, F.lit(0)))
+    free = lambda taken, row: F.get(F.filter(left(row), lambda c: ~F.coalesce(F.array_contains(taken, c), F.lit(False))), F.lit(0))
     given = F.aggregate("rows", F.array().cast(f"array<{id_type}>"), lambda taken, row: F.concat(taken, F.array(free(taken, row))))
     told = lists.select("rows", given.alias("given")).select(F.explode(F.arrays_zip("rows", "given")).alias("e"))
     return told.filter("e.given is not null").select(
-        F.col("e.rows.t_id").alias("t_id"), F.col("e.given").alias("c_id"),
+        "e.rows.t_id", "e.rows.place", "e.rows.c_ids", F.col("e.given").alias("c_id"),
         F.array_position(F.col("e.rows.c_ids"), F.col("e.given")).cast("int").alias("turn"))
 
 
+def _contested(held: DataFrame) -> DataFrame:
+    """(c_id, winner) of the controls that several rows hold."""
+    return held.groupBy("c_id").agg(F.min("t_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("c_id", "winner")
+
+
 def resolve(candidates: DataFrame, block_rows: int = 1024) -> DataFrame:
     """Deferred acceptance over (t_id, place, c_ids, gaps); gives (t_id, c_id, gap).
 
     The order in which rows ask does not change the result, so blocks of neighbouring treated rows first settle among
-    themselves. After that only rows that were refused go on: they ask their next control, which compares them with its
-    holder. A control only ever changes to a holder with a smaller id, so acceptances are appended to a log and the
-    holder is the smallest id in it; nothing settled is written again. It is over when nobody was refused.
+    themselves, once, and once more with the borders moved by half a block where blocks disagree. After that only rows
+    that were refused go on: they ask their next control, which compares them with its holder. A control only ever changes
+    to a holder with a smaller id, so acceptances are appended to a log and the holder is the smallest id in it; nothing
+    settled is written again. It is over when nobody asks.
     """
     wishes = written(candidates, "match-wishes")
-    log = [written(_first_turns(wishes, block_rows), "match-holders")]
-    contested = log[0].groupBy("c_id").agg(F.min("t_id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    refused = log[0].join(contested.select("c_id", "winner"), "c_id").filter("t_id <> winner").select("t_id", "turn")
+    held = written(_settled(wishes.select("t_id", "place", "c_ids", F.lit(1).alias("turn")), block_rows, 0), "match-holders")
+    contested = written(_contested(held), "match-contested")
+    if not contested.isEmpty():
+        lost = F.col("winner").isNotNull() & (F.col("winner") != F.col("t_id"))
+        again = held.join(contested, "c_id", "left").withColumn("turn", F.col("turn") + lost.cast("int"))
+        held = written(_settled(again.select("t_id", "place", "c_ids", "turn"), block_rows, block_rows // 2), "match-holders")
+        contested = written(_contested(held), "match-contested")
+    log = [held.select("t_id", "c_id", "turn")]
+    refused = log[0].join(contested, "c_id").filter("t_id <> winner").select("t_id", "turn")
     while True:
         ask = F.col("turn") + 1
-        pending = written(
-            wishes.join(refused, "t_id").filter(ask <= F.size("c_ids")).select("t_id", F.element_at("c_ids", ask).alias("c_id"), ask.alias("turn")),
-            "match-pending",
-        )
-        if pending.isEmpty():
-            break
-        asked = pending.select("c_id").distinct()
-        held = reduce(DataFrame.unionByName, log).join(asked, "c_id").groupBy("c_id").agg(F.min_by(F.struct("t_id", "turn"), "t_id").alias("h"))
-        both = pending.withColumn("fresh", F.lit(True)).unionByName(held.select("h.t_id", "c_id", "h.turn", F.lit(False).alias("fresh")))
-        best = both.groupBy("c_id").agg(F.min("t_id").alias("winner"))
-        told = written(both.join(best, "c_id").withColumn("kept", F.col("t_id") == F.col("winner")), "match-told")
-        log.append(told.filter("fresh and kept").select("t_id", "c_id", "turn"))
+        pending = wishes.select("t_id", "c_ids").join(refused, "t_id").filter(ask <= F.size("c_ids")).select(
+            "t_id", F.get("c_ids", F.col("turn")).alias("c_id"), ask.alias("turn"))
+        holder = reduce(DataFrame.unionByName, log).join(pending.select("c_id").distinct(), "c_id").groupBy("c_id").agg(
+            F.min_by(F.struct("t_id", "turn"), "t_id").alias("h"))
+        both = pending.withColumn("fresh", F.lit(True)).unionByName(holder.select("h.t_id", "c_id", "h.turn", F.lit(False).alias("fresh")))
+        kept = F.col("t_id") == F.min("t_id").over(Window.partitionBy("c_id"))
+        told = written(both.withColumn("kept", kept), "match-told")
         refused = told.filter(~F.col("kept")).select("t_id", "turn")
+        log.append(told.filter("fresh and kept").select("t_id", "c_id", "turn"))
+        if refused.isEmpty():
+            break
         if len(log) > _LOG_PARTS:
             log = [written(reduce(DataFrame.unionByName, log), "match-holders")]
     final = reduce(DataFrame.unionByName, log).groupBy("c_id").agg(F.min_by(F.struct("t_id", "turn"), "t_id").alias("h"))

@@ -131,5 +131,5 @@ def test_only_refused_rows_ask_again(spark, monkeypatch):
     pdf = random_study(4, 3000, 0.4, None)
     got = matching.match_pairs(spark.createDataFrame(pdf), P, caliper=0.05)
     assert pairs_of(got) == serial(pdf, 0.05, 10)
-    asked = [n for name, n in sizes if name == "match-pending"]
-    assert sum(asked) < 0.1 * dict(sizes)["match-wishes"]
+    told = [n for name, n in sizes if name == "match-told"]
+    assert sum(told) < 0.1 * dict(sizes)["match-wishes"]
