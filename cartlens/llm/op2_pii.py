@@ -133,8 +133,10 @@ def disclosing(rows: DataFrame, text: str, share: float = DISCLOSURE, least: int
     n_term = written(n_term, "term_counts")
     bits = F.log2(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
     passes = (F.col("n_et") >= least) & (bits >= share * known)
-    of_held = rows.join(held.select("_pii_row").distinct(), "_pii_row", "left_semi").select("_pii_row", F.explode(terms).alias("term"))
-    of_held = written(of_held.join(n_term, "term"), "held_terms")
+    # a row needs its terms only up to what the most frequent of its entities allows
+    reach = held.groupBy("_pii_row").agg(F.max("most").alias("_most"))
+    of_held = rows.join(reach, "_pii_row").select("_pii_row", "_most", F.explode(terms).alias("term"))
+    of_held = written(of_held.join(n_term, "term").filter(F.col("n_t") <= F.col("_most")).drop("_most"), "held_terms")
     pairs = of_held.join(held, "_pii_row").filter("n_t <= most").groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
     likely = written(pairs.filter(passes).drop("n_et"), "likely")
 
