@@ -27,7 +27,6 @@ from cartlens.session import written
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSURE = 0.8
 LEAST_DOCS = 3
-NEAR = 1 << 31  # characters on each side of a span that are searched for terms: the whole text
 
 # The same matches as the plain patterns, with starts that can't match ruled out: a match starts where a run of its
 # characters does or where the last match ended, and runs are taken whole.
@@ -143,7 +142,8 @@ def disclosing(rows: DataFrame, text: str, share: float = DISCLOSURE, least: int
     own = written(words.join(likely.select("term").distinct(), "term").groupBy("_pii_row").agg(F.collect_set("term").alias("_own")), "own_terms")
     sought = F.filter(matches(old, TERM), lambda t: F.array_contains(F.col("_own"), F.lower(t["value"])))
     clear = F.filter(sought, lambda t: ~F.exists("_pii", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    placed = rows.select("_pii_row", "_pii", F.col(f"`{text}`")).join(own, "_pii_row").select("_pii_row", F.explode(clear).alias("t"))
+    # the same plan at every size: texts meet the terms sought in them by row, in a merge join
+    placed = rows.select("_pii_row", "_pii", F.col(f"`{text}`")).hint("merge").join(own, "_pii_row").select("_pii_row", F.explode(clear).alias("t"))
     placed = written(placed.select("_pii_row", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")), "placed")
 
     n_both = placed.select("_pii_row", "term").distinct().join(held.select("_pii_row", "entity"), "_pii_row")

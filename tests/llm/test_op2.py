@@ -36,7 +36,7 @@ def spans_of(rows):
         for s, k, e in found[i]:
             v = t[s:e].lower() if k < 2 else re.sub("[^0-9]", "", t[s:e])
             n_e[k, v].add(i)
-            for a, b in ((max(0, s - p.NEAR), s), (e, min(len(t), e + p.NEAR))):
+            for a, b in ((0, s), (e, len(t))):
                 for m in word.finditer(t[a:b]):
                     x, y = m.start() + a, m.end() + a
                     if (x > a or a == 0) and (y < b or b == len(t)) and not any(q < y and x < r for q, _, r in found[i]):
