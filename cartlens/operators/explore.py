@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cartlens.fixed_values import REST_LABEL
 from cartlens.functions.scalars import month_of
-from cartlens.operators.ordered import equal_width_bins
+from cartlens.operators.ordered import equal_width_bins, running_totals
+from cartlens.session import written
 
 
 def eda_table_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -24,10 +25,11 @@ def eda_head(df: DataFrame, n: int = 5, order: str | None = None) -> DataFrame:
 
 
 def eda_describe(df: DataFrame) -> DataFrame:
-    """Type, count, distinct values, most frequent value and numeric spread per column.
+    """Type, count, distinct values, most frequent value, mean, deviation, extremes and quartiles per column.
 
     Value counts come from one stacked (column, value) aggregation, so the mode of a column never
-    needs all its values in one buffer.
+    needs all its values in one buffer. Quartiles are found in the counts: one running total over all columns in
+    order of column and number, in which a wanted place lies at the first number whose total reaches it.
     """
     kinds = dict(df.dtypes)
     numeric = {c for c, k in kinds.items() if k.startswith(("int", "bigint", "double", "float", "decimal", "smallint"))}
@@ -43,10 +45,15 @@ def eda_describe(df: DataFrame) -> DataFrame:
         df.select(F.inline(F.array(*pairs)))
         .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"), F.max("num").alias("num"))
     )
+    counts = written(counts, "value-counts")
     seen = F.when(F.col("value").isNotNull(), F.col("n"))
     total, mean = F.sum(seen), F.sum(F.col("num") * F.col("n")) / F.nullif(F.sum(F.when(F.col("num").isNotNull(), F.col("n"))), F.lit(0))
     types = F.create_map(*[part for c, k in kinds.items() for part in (F.lit(c), F.lit(k))])
-    return counts.groupBy("column_name").agg(
+    centre = counts.filter("num is not null").groupBy("column_name").agg((F.sum(F.col("num") * F.col("n")) / F.sum("n")).alias("centre"))
+    off = F.col("num") - F.col("centre")
+    spread = counts.filter("num is not null").join(F.broadcast(centre), "column_name").groupBy("column_name").agg(
+        F.round(F.sqrt(F.sum(F.col("n") * off * off) / F.nullif(F.sum("n") - 1, F.lit(0))), 6).alias("std"))
+    main = counts.groupBy("column_name").agg(
         F.coalesce(total, F.lit(0)).alias("count"),
         F.count("value").alias("unique"),
         F.min_by("value", F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value")))).alias("top"),
@@ -55,6 +62,25 @@ def eda_describe(df: DataFrame) -> DataFrame:
         F.min("num").alias("min"),
         F.max("num").alias("max"),
     ).withColumn("dtype", F.element_at(types, F.col("column_name")))
+    shape = spread.join(_quartiles(counts), "column_name")
+    return main.join(F.broadcast(shape), "column_name", "left").select(
+        "column_name", "count", "unique", "top", "freq", "mean", "min", "max", "std", "p25", "p50", "p75", "dtype")
+
+
+def _quartiles(counts: DataFrame) -> DataFrame:
+    """column_name, p25, p50, p75: interpolated between places, from rows (column_name, num, n)."""
+    numbers = counts.filter("num is not null").groupBy("column_name", "num").agg(F.sum("n").alias("n"))
+    line = running_totals(numbers, ["column_name", "num"], {"upto": "n"})
+    groups = numbers.groupBy("column_name").agg(F.sum("n").alias("rows"))
+    starts = line.groupBy("column_name").agg(F.min(F.col("upto") - F.col("n")).alias("start"))
+    placed = line.join(F.broadcast(groups.join(starts, "column_name")), "column_name").withColumn("last", F.col("upto") - F.col("start"))
+    picks = []
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
+        at = (F.col("rows") - 1) * F.lit(p)
+        reached = lambda place: F.min(F.when(F.col("last") >= place, F.col("num")))
+        picks += [reached(F.floor(at) + 1).alias(f"lo_{name}"), reached(F.ceil(at) + 1).alias(f"hi_{name}"), F.max(at - F.floor(at)).alias(f"at_{name}")]
+    return placed.groupBy("column_name").agg(*picks).select(
+        "column_name", *[F.round(F.col(f"lo_{n}") + F.col(f"at_{n}") * (F.col(f"hi_{n}") - F.col(f"lo_{n}")), 6).alias(n) for n in ("p25", "p50", "p75")])
 
 
 def eda_nulls(tables: dict[str, DataFrame]) -> DataFrame:

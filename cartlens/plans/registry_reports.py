@@ -256,7 +256,10 @@ def _describe_sql(columns: dict[str, str]) -> str:
       (SELECT max(k) FROM (SELECT count(*) AS k FROM m_payments WHERE {c} IS NOT NULL GROUP BY {c})) AS freq,
       {f'round(CAST(sum({c}) AS DOUBLE) / count({c}), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS mean,
       {f'CAST(min({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS min,
-      {f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS max, '{columns[c]}' AS dtype FROM m_payments"""
+      {f'CAST(max({c}) AS DOUBLE)' if num else 'CAST(NULL AS DOUBLE)'} AS max,
+      {f'round(stddev_samp(CAST({c} AS DOUBLE)), 6)' if num else 'CAST(NULL AS DOUBLE)'} AS std,
+      {", ".join((f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 6)" if num else "CAST(NULL AS DOUBLE)") + f" AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75))},
+      '{columns[c]}' AS dtype FROM m_payments"""
     return " UNION ALL ".join(part(c, columns[c] != "string") for c in columns)
 
 
@@ -460,23 +463,26 @@ def _(s):
     return s.spark.read.parquet(path)
 
 
-@query("sink_csv", on(SALES, "SELECT month, CAST(gmv AS VARCHAR) <> '' AS has_gmv, order_count FROM s_monthly").replace(
-    "CAST(gmv AS VARCHAR) <> '' AS has_gmv", "gmv"))
+_MONTHLY = "month, gmv, freight_revenue, order_count, gross_profit, aov, gross_margin, gmv_growth"
+
+
+@query("sink_csv", on(SALES, f"SELECT {_MONTHLY} FROM s_monthly"))
 def _(s):
     path = scratch_path(s.spark, "monthly-csv")
     tables.write_csv(kpi.kpi_monthly_margin(sales(s)), path)
     return s.spark.read.schema(
         "month string, gmv double, freight_revenue double, order_count bigint, gross_profit double, aov double, "
         "gross_margin double, gmv_growth double"
-    ).csv(path, header=True).select("month", "gmv", "order_count")
+    ).csv(path, header=True)
 
 
-@query("sink_json", on(SALES, "SELECT month, gmv, aov FROM s_monthly"))
+@query("sink_json", on(SALES, f"SELECT {_MONTHLY} FROM s_monthly"))
 def _(s):
     path = scratch_path(s.spark, "monthly-json")
     rows = kpi.kpi_monthly_margin(sales(s))
-    tables.write_json(rows.select("month", F.struct("gmv", "aov").alias("totals")), path)
-    return s.spark.read.schema("month string, totals struct<gmv: double, aov: double>").json(path).select("month", "totals.*")
+    nested = rows.select("month", F.struct(*[c for c in rows.columns if c != "month"]).alias("totals"))
+    tables.write_json(nested, path)
+    return s.spark.read.schema(nested.schema).json(path).select("month", "totals.*")
 
 
 @query("sql_query", on(MODEL, "SELECT order_status, count(*) AS n FROM m_orders WHERE purchase_ts >= TIMESTAMP '1998-01-01' GROUP BY 1"))
@@ -496,13 +502,20 @@ def _saved(s, name):
     return table
 
 
-query("load_table", on(MODEL, "SELECT product_id, product_category_name FROM m_products"))(
-    lambda s: tables.load_table(s.spark, _saved(s, "products")).select("product_id", "product_category_name")
-)
-query("list_tables", "SELECT unnest(['cartlens_products', 'cartlens_sellers']) AS table_name")(
-    lambda s: [_saved(s, n) for n in ("products", "sellers")]
-    and tables.list_tables(s.spark).filter(F.col("table_name").isin("cartlens_products", "cartlens_sellers"))
+query("load_table", on(MODEL, "SELECT order_id, payment_sequential, payment_type, payment_installments, CAST(payment_value AS DOUBLE) AS payment_value FROM m_payments"))(
+    lambda s: tables.load_table(s.spark, _saved(s, "order_payments"))
 )
+
+
+@query("list_tables", on(MODEL, """SELECT 'cartlens_products' AS table_name, count(*) AS row_count FROM m_products
+  UNION ALL SELECT 'cartlens_sellers', count(*) FROM supplier UNION ALL SELECT 'cartlens_customers', count(*) FROM m_customers"""))
+def _(s):
+    """The saved tables that the catalog lists, each with its row count."""
+    mine = {_saved(s, n) for n in ("products", "sellers", "customers")}
+    listed = [r["table_name"] for r in tables.list_tables(s.spark).collect() if r["table_name"] in mine]
+    return reduce(DataFrame.unionByName, [explore.eda_table_counts({n: tables.load_table(s.spark, n)}) for n in listed]).select("table_name", "row_count")
+
+
 query("table_info", """SELECT 'order_payments' AS table_name, n AS row_count, CAST(5 AS BIGINT) AS column_count,
   unnest([0, 1, 2, 3, 4]) AS position,
   unnest(['order_id', 'payment_sequential', 'payment_type', 'payment_installments', 'payment_value']) AS column_name,

@@ -88,3 +88,17 @@ def test_no_window_over_all_rows(spark):
     plan = global_rank(df, ["v", "id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Window") < plan.rindex("HashAggregate") < plan.rindex("FileScan")
     assert "Window" not in plan[plan.rindex("HashAggregate"):]
+
+
+def test_describe_takes_quartiles_from_counts(spark):
+    from cartlens.operators.explore import eda_describe
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 5, 101).astype(float), "b": rng.normal(size=101), "c": ["x"] * 101, "d": [7.0] * 101})
+    pdf.loc[::4, "b"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c string, d double").withColumn("e", F.lit(None).cast("int"))
+    got = eda_describe(df).toPandas().set_index("column_name")
+    want = pdf[["a", "b", "d"]].describe()
+    for c in want:
+        assert got.loc[c, ["std", "p25", "p50", "p75"]].astype(float).tolist() == pytest.approx(want[c][["std", "25%", "50%", "75%"]].tolist(), abs=2e-6)
+    assert len(got) == 5 and got.loc[["c", "e"], ["mean", "std", "p50"]].isna().all().all()
