@@ -111,7 +111,8 @@ class Job:
 
     def step_model(self) -> None:
         cfg, m = self.cfg, churn_model
-        table, names = m.ml_table(self.stored("user_features_labelled"))
+        people = self.stored("user_features_labelled")
+        table, names = m.ml_table(people)
         split = written(m.ml_split(table, cfg.test_size, cfg.seed), "split")
         train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
         models = m.learners(self.trees)
@@ -131,7 +132,7 @@ class Job:
         compared = m.ml_comparison(cv, tests)
         self.report("model_comparison", compared)
         best = m.ml_select_best(compared).first()["model"]
-        m.ml_save_model(fits[best], f"{self.out}/models/best_churn_model")
+        m.ml_save_model(m.with_coders(fits[best], people, names), f"{self.out}/models/best_churn_model")
 
     def step_causal(self) -> None:
         cfg, e = self.cfg, effect
