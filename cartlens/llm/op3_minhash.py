@@ -17,7 +17,7 @@ Nothing is paired within a class, no bucket is capped, and no group is held whol
 Defined results: null, empty and blank texts have an empty set, n_shingles 0 and are linked with nothing. Equal rows
 fall in one class; a component's id is its smallest non-null document id (null if it has none), and ``kept`` means that
 the row has this id, so rows that repeat a kept id are all kept (``one_of_each`` keeps one row of each component, whatever
-the ids are).
+the ids are). A very long text is one set of all its shingles; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -133,9 +133,14 @@ def first_pairs(members: DataFrame, leaders: DataFrame, percent: int) -> DataFra
     return near.unionByName(star).distinct()
 
 
-def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """Written: node and items (its sorted shingle hashes). One text of each class is read again."""
-    reps = written(nodes.join(classes.select("node", "rep"), "node").select("rep"), "wanted").distinct()
+def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, repeated: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """Written: one row of node and items (its sorted shingle hashes) for each of ``nodes``.
+
+    One text of each class is read again by its id. Where the id stands on several rows (``repeated``), all of its texts are
+    read, only wanted classes are kept, and equal ones are reduced to one row before they can meet in a join.
+    """
+    wanted = written(nodes.join(classes.select("node", "rep"), "node"), "wanted")
+    reps = wanted.select("rep").distinct()
 
     def run(batches):
         for batch in batches:
@@ -144,8 +149,12 @@ def sets_of(nodes: DataFrame, docs: DataFrame, classes: DataFrame, key: str, tex
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
     texts = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
-    texts = texts.join(reps, texts["_id"].eqNullSafe(reps["rep"]), "left_semi").select("_text")
-    return written(texts.mapInArrow(run, "node binary, items binary"), "sets")
+    texts = texts.join(reps, texts["_id"].eqNullSafe(reps["rep"]), "left_semi")
+    several = texts["_id"].eqNullSafe(repeated["many"])
+    once = texts.join(repeated, several, "left_anti").select("_text").mapInArrow(run, "node binary, items binary")
+    often = texts.join(repeated, several, "left_semi").select("_text").mapInArrow(run, "node binary, items binary")
+    often = often.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return written(once.unionByName(often), "sets")
 
 
 def similar(x: bytes, y: bytes, percent: int) -> bool:
@@ -250,6 +259,7 @@ def near_duplicates(
     classes = written(
         base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
+    repeated = written(base.groupBy(F.col("doc_id").alias("many")).count().filter("count > 1").select("many"), "repeated")
     spread = classes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     # written first, so that both sides of the join are plain shuffles and a hot bucket is split; leaders likewise
     sizes = written(spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
@@ -259,11 +269,11 @@ def near_duplicates(
     leaders = leaders_of(members)
     pairs = written(first_pairs(members, leaders, percent), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    links = confirmed(pairs, sets_of(asked, docs, classes, key, text, shingle), percent)
+    links = confirmed(pairs, sets_of(asked, docs, classes, repeated, key, text, shingle), percent)
     labels = connected(links)
     mixed = families(members, leaders, labels)
     if mixed.limit(1).count():
-        sets = sets_of(mixed.select("node").distinct(), docs, classes, key, text, shingle)
+        sets = sets_of(mixed.select("node").distinct(), docs, classes, repeated, key, text, shingle)
         more = later_links(mixed, sets, classes, percent, LEAST_SHARED)
         if more.limit(1).count():
             labels = connected(links.unionByName(more))

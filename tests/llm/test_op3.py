@@ -91,3 +91,26 @@ def test_unrelated_rows_without_own_id_stay(spark):
     assert text("null") == sorted(alone) and text("same") == sorted(shared)
     assert [(r.doc_id, r.text) for r in out if r.component_id == "copy"] == [(9, copied)]
     assert sum(r.component_id == "blank" for r in out) == 3
+
+
+def test_rows_that_repeat_an_id_are_one_set_each(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    near = words[:-3] + ["x", "y", "z"]
+    rows = [(1, " ".join(words))] * 200 + [(2, " ".join(near))] * 200 + [(None, " ".join(near[::-1]))] * 50 + [(None, " ".join(words[::-1]))] * 50
+    sizes, plain = [], m.confirmed
+
+    def confirmed(pairs, sets, percent):
+        sizes.append((sets.count(), sets.select("node").distinct().count()))
+        return plain(pairs, sets, percent)
+
+    monkeypatch.setattr(m, "confirmed", confirmed)
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "component_id").count().collect()
+    assert sizes == [(4, 4)]
+    assert {tuple(r) for r in got} == {(1, 1, 200), (2, 1, 200), (None, None, 100)}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i * 7919 % 400_009}" for i in range(400_000))
+    rows = [(5, long), (6, long + " and a little more"), (7, "short text of its own")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (5, True), 6: (5, False), 7: (7, True)}
