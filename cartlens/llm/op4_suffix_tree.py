@@ -50,13 +50,12 @@ GAP = 0x20
 GAPS = (0x20, 9, 10, 11, 12, 13, 256)
 SYMBOLS = 256 - len(GAPS) + 2
 SHALLOW = 2
-MERGE_KEYS = 2_000_000
+MERGE_KEYS = 1_000_000
 CHUNK = 100_000
-SLICE = 4_000_000
 
-KIND = np.zeros(257, np.int64)
-KIND[list(GAPS)] = np.arange(len(GAPS))
-FOLDED = np.where(np.append(SPACE, True), GAP, np.arange(257)).astype(np.int64)
+KIND = np.zeros(256, np.int64)
+KIND[list(GAPS[:-1])] = np.arange(len(GAPS) - 1)
+FOLDED = np.where(SPACE, GAP, np.arange(256)).astype(np.uint8)
 
 
 class Tally:
@@ -100,26 +99,26 @@ def mask(depth) -> np.ndarray | int:
 
 
 def before(symbol: np.ndarray, place: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The ``depth`` symbols before those at ``at``, the latest in the lowest bits; gaps stand before the first."""
+    """The ``depth`` symbols before those at ``at``, the latest in the lowest bits; gaps stand before the first (``place`` 0)."""
     out = np.zeros(len(at), np.int64)
     for d in range(1, depth + 1):
-        out |= np.where(place[at] >= d, symbol[np.maximum(at - d, 0)], GAP) << (8 * (d - 1))
+        out |= np.where(place >= d, symbol[np.maximum(at - d, 0)], GAP).astype(np.int64) << (8 * (d - 1))
     return out
 
 
-def borders(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def borders(w: Words) -> tuple[np.ndarray, ...]:
     """Of the texts of a slice: context, symbol and text of the symbols after gaps; byte before, kind and text of the gaps."""
-    n = len(w.counts)
-    size = np.diff(w.offsets) + 1
-    cuts = np.concatenate(([0], np.cumsum(size)))
-    text = np.repeat(np.arange(n), size)
-    place = np.arange(cuts[-1]) - cuts[:-1][text]
-    raw = np.full(cuts[-1], 256, np.int64)
-    raw[place < (size - 1)[text]] = w.raw
+    cuts = np.concatenate(([0], np.cumsum(np.diff(w.offsets) + 1)))
+    ending = np.zeros(cuts[-1], bool)
+    ending[cuts[1:] - 1] = True
+    raw = np.full(cuts[-1], GAP, np.uint8)
+    raw[~ending] = w.raw
     symbol = FOLDED[raw]
-    last = np.where(place > 0, np.concatenate(([GAP], symbol[:-1])), GAP)
+    last = np.concatenate((np.array([GAP], np.uint8), symbol[:-1]))  # a text's end is a gap before the next text
     after, gap = np.flatnonzero(last == GAP), np.flatnonzero(symbol == GAP)
-    return before(symbol, place, after, BORDER), symbol[after], text[after], last[gap], KIND[raw[gap]], text[gap], cuts
+    kind = np.where(ending[gap], len(GAPS) - 1, KIND[raw[gap]])
+    of, of_gap = (np.searchsorted(cuts, x, side="right") - 1 for x in (after, gap))
+    return before(symbol, after - cuts[of], after, BORDER), symbol[after].astype(np.int64), of, last[gap].astype(np.int64), kind, of_gap
 
 
 def of_ranges(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -136,7 +135,7 @@ def counts_of(docs: DataFrame) -> DataFrame:
         runs, gaps, texts = Tally(), np.zeros(256 * len(GAPS), np.int64), 0
         for batch in batches:
             learn = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for a, b, w in word_slices(batch.column(0), lower=True, limit=SLICE):
+            for a, b, w in word_slices(batch.column(0), lower=True):
                 own = learn[a:b]
                 texts += int(own.sum())
                 h = w.hashes().view(np.int64)
@@ -149,7 +148,7 @@ def counts_of(docs: DataFrame) -> DataFrame:
                     one = order[first]
                     words = of_ranges(w.raw, w.start[one], w.end[one])
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(one), np.int32)), pa.array(s[first]), words, pa.array(n), pa.array(m)], ["kind", "k", "word", "n", "m"])
-                context, symbol, of, last, kind, of_gap, _ = borders(w)
+                context, symbol, of, last, kind, of_gap = borders(w)
                 keep = own[of]
                 keys = (BORDER << 57 | context << 9 | symbol)[keep]
                 runs.add(keys, np.ones(len(keys), np.int64))
@@ -175,12 +174,12 @@ class Inner:
         ends = np.concatenate(([0], np.cumsum(size)))
         word = np.repeat(np.arange(len(words)), size)
         place = np.arange(ends[-1]) - ends[:-1][word]
-        symbol = np.full(ends[-1], GAP, np.int64)
+        symbol = np.full(ends[-1], GAP, np.uint8)
         symbol[(place > 0) & (place < (size - 1)[word])] = data[cuts[0] : cuts[-1]]
         at = np.flatnonzero(place >= 2)
-        self.word, self.place, self.symbol = word[at], place[at], symbol[at]
+        self.word, self.place, self.symbol = word[at], place[at], symbol[at].astype(np.int64)
         self.depth = np.minimum(self.place, DEPTH)
-        self.context = before(symbol, place, at, DEPTH) & np.array([mask(d) for d in range(DEPTH + 1)])[self.depth]
+        self.context = before(symbol, self.place, at, DEPTH) & np.array([mask(d) for d in range(DEPTH + 1)])[self.depth]
 
 
 def runs_of(units: DataFrame) -> DataFrame:
@@ -434,13 +433,13 @@ def lm_scores(
         tree = found.value
         keys, logs, seen, scores = known.value
         for batch in batches:
-            for a, b, w in word_slices(batch.column(2), lower=True, limit=SLICE):
+            for a, b, w in word_slices(batch.column(2), lower=True):
                 h = w.hashes().view(np.int64)
                 at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
                 hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 of_word, own = w.text_of_word()[hit], at[hit]
                 add = lambda of, x: np.bincount(of, x, b - a).astype(np.float64)
-                context, symbol, of, last, kind, of_gap, _ = borders(w)
+                context, symbol, of, last, kind, of_gap = borders(w)
                 log, _ = tree.walk(context, symbol, np.full(len(symbol), BORDER))
                 score = add(of, log) + add(of_gap, gap[last, kind]) + add(of_word, scores[own])
                 rare = np.concatenate(([0], np.cumsum(~hit)))[w.of_text]
