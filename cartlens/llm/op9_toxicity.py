@@ -11,8 +11,10 @@ neutral mentions. Class weights restore the label shares of all training rows, s
 Scoring is one pass over the texts with a table of at most ``FEATURES`` weights broadcast; no shuffle.
 
 Defined results: null and empty texts have no features and get the score of the bias. Rows are scored one by
-one, so repeated rows repeat. A label that is null doesn't count, several labels of one id count as the largest. Without
+one, so repeated rows repeat. A label that is null doesn't count, several labels of one id count as the largest, and of
+several texts of one id the least is learned from, so repeated ids can't pass the bound of the sample. Without
 labels of both classes every score is the share of label 1 (0 without labels). A null id counts as not held out.
+Very long texts are read whole; only doc_id, text and toxic are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """text and label of at most ``rows`` training rows of each class, and how many training rows each class has."""
+    """text and label of at most ``rows`` training ids of each class, and how many training ids each class has."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("_label"))
     known = written(known.filter(remainder(F.col("doc_id"), 4) != 2), "labels")
     sizes = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
@@ -110,7 +112,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int) -> tuple[DataFrame,
     ]
     few = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_labelled")
     texts = docs.select("doc_id", "text")
-    return texts.join(F.broadcast(few), texts["doc_id"] == few["_labelled"]).select("text", "_label"), sizes
+    found = texts.join(F.broadcast(few), texts["doc_id"] == few["_labelled"])
+    return found.groupBy("_labelled", "_label").agg(F.min("text").alias("text")).select("text", "_label"), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict:

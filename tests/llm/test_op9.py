@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -57,3 +58,50 @@ def test_swaps_and_penalty():
     held = o.descend(own, twin, label, {0: 1.0, 1: 1.0}, 4)
     assert abs(held[0] - held[1]) < 0.5 * abs(free[0] - free[1])
     assert held[2] > 1
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    docs, labels = rows(60)
+    frame = spark.createDataFrame([d[:2] for d in docs] + [(1, f"copy {k}") for k in range(500)] + [(2, None)] * 300, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample, sizes = o.sample_of(frame, known, 10)
+    taken = [tuple(r) for r in sample.collect()]
+    texts = {}
+    for i, t in frame.collect():
+        texts.setdefault(i, []).append(t)
+    training = [(min((t for t in texts[i] if t is not None), default=None), label) for i, label in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert [sum(label == k for _, label in taken) for k in (0, 1)] == [10, 10] and set(taken) <= set(training)
+    assert sizes == {k: sum(label == k for _, label in training) for k in (0, 1)}
+    everything = o.sample_of(frame, known, 1000)[0].collect()
+    assert sorted(map(tuple, everything), key=str) == sorted(training, key=str)
+
+
+def test_descent_reaches_the_optimum_of_the_whole_loss():
+    rnd = np.random.default_rng(8)
+    n, features = 120, 6
+    x = (rnd.random((n, features)) < 0.4).astype(float)
+    label = (rnd.random(n) < 1 / (1 + np.exp(1 - 2 * x[:, 0] - x[:, 1]))).astype(float)
+    twin = x.copy()
+    twin[:, [0, 5]] = x[:, [5, 0]]
+    has_twin = rnd.random(n) < 0.5
+    weight = {0: 1.5, 1: 0.5}
+    each = np.where(label > 0, weight[1], weight[0])
+    each /= each.sum()
+    gap = np.c_[x - twin, np.zeros(n)][has_twin]
+    full = np.c_[x, np.ones(n)]
+    ridge = np.diag([o.RIDGE] * features + [0.0])
+
+    def loss(v):
+        z = full @ v
+        return (each * (np.logaddexp(0, z) - label * z)).sum() + v @ ridge @ v / 2 + o.SWAP_PENALTY * (each[has_twin] * (gap @ v) ** 2).sum()
+
+    best = np.zeros(features + 1)
+    for _ in range(60):  # Newton's method on all weights
+        p = 1 / (1 + np.exp(-full @ best))
+        slope = full.T @ (each * (p - label)) + ridge @ best + 2 * o.SWAP_PENALTY * gap.T @ (each[has_twin] * (gap @ best))
+        bend = full.T * (each * p * (1 - p)) @ full + ridge + 2 * o.SWAP_PENALTY * (gap.T * each[has_twin]) @ gap
+        best = best - np.linalg.solve(bend, slope)
+    lists = lambda m: [np.flatnonzero(r).astype(np.int32).tobytes() for r in m]
+    got = o.descend(lists(x), [t if k else None for t, k in zip(lists(twin), has_twin)], label, weight, features)
+    assert loss(got) - loss(best) < 1e-5 < loss(np.zeros(features + 1)) - loss(best)
+    assert np.abs(got - best).max() < 0.05
