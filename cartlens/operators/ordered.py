@@ -12,7 +12,9 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from cartlens.operators import selection
 from cartlens.session import written
 
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
@@ -89,47 +91,25 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], sums: dict[str,
     )
 
 
-def ntile(rank: Column, size: Column, bins: int) -> Column:
-    """SQL NTILE from a rank: the first ``size mod bins`` tiles hold one row more."""
-    base = F.floor(size / bins).cast("bigint")
-    rest = size % bins
-    big = rest * (base + 1)
-    late = rest + F.ceil((rank - big) / F.greatest(base, F.lit(1)))
-    return F.when(rank <= big, F.ceil(rank / (base + 1))).otherwise(late).cast("int")
-
-
-def rank_quantile_bin(rank: Column, size: Column, bins: int) -> Column:
-    """Quantile cut of the ranks 1..size by interpolated edges, right-closed, lowest edge included."""
-    span = F.greatest(size - 1, F.lit(1))
-    return F.greatest(F.lit(1), F.ceil((rank - 1) * bins / span)).cast("int")
-
-
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], within: Sequence[str] = (), tie: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], within: Sequence[str] = ()
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group without holding the values of a group in memory.
+    """Linearly interpolated quantiles per group, selected without ranking rows or holding a group in memory.
 
-    ``probs`` names the output columns. ``tie`` is a unique key that spreads runs of equal values.
+    ``probs`` names the output columns. Nulls take no part; a group without values gives no row. ``within`` takes
+    columns with a short fixed list of values. The frame is read several times: hand in a stored one.
     """
-    ranked = global_rank(df.filter(F.col(value).isNotNull()), [value, *tie], within)
-    picks = []
-    for name, p in probs.items():
-        at = (F.col("group_size") - 1) * F.lit(float(p))
-        low = F.floor(at) + 1
-        v = F.col(value).cast("double")
-        picks += [
-            F.max(F.when(F.col("rank") == low, v)).alias(f"_lo_{name}"),
-            F.max(F.when(F.col("rank") == F.least(low + 1, F.col("group_size")), v)).alias(f"_hi_{name}"),
-            F.max(at - F.floor(at)).alias(f"_at_{name}"),
-        ]
-    rows = ranked.groupBy(*within).agg(*picks)
-    return rows.select(
-        *within,
-        *[
-            (F.col(f"_lo_{n}") + F.col(f"_at_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-            for n in probs
-        ],
-    )
+    data = df.filter(F.col(value).isNotNull()).select(*within, F.col(value).cast("double").alias("_v"))
+    sizes = selection.group_sizes(data, within)
+    picks = {g: {name: selection.quantile_places(n, p) for name, p in probs.items()} for g, n in sizes.items()}
+    wanted = {g: {r for low, high, _ in p.values() for r in (low, high)} for g, p in picks.items()}
+    keys = selection.rows_at(data, [F.col("_v")], wanted, sizes, within)
+    rows = []
+    for g, named in picks.items():
+        ends = [(keys[g, low][0], keys[g, high][0], part) for low, high, part in named.values()]
+        rows.append((*g, *[lo + part * (hi - lo) if part else lo for lo, hi, part in ends]))
+    schema = StructType([*data.select(*within).schema, *[StructField(name, DoubleType()) for name in probs]])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def equal_width_bins(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

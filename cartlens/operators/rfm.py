@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,44 +12,54 @@ from cartlens.fixed_values import (
     SEGMENT_AT_RISK, SEGMENT_HIGH_VALUE, SEGMENT_KEEP, SEGMENT_WAKE,
 )
 from cartlens.functions.scalars import percent, plain_ratio
+from cartlens.operators import selection
 from cartlens.operators.features import PERSON
-from cartlens.operators.ordered import equal_width_bins, exact_quantiles, global_rank, ntile, rank_quantile_bin
-
+from cartlens.operators.ordered import equal_width_bins, exact_quantiles
 
-def _stacked_ranks(features: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """Ranks of several measures from one range shuffle: (measure, value, person) is one global order."""
-    pairs = [F.struct(F.lit(name).alias("measure"), c.cast("double").alias("value")) for name, c in measures.items()]
-    stacked = features.select(PERSON, F.inline(F.array(*pairs)))
-    return global_rank(stacked, ["value", PERSON], within=["measure"])
 
+def _scores(
+    features: DataFrame, measures: dict[str, Column], ends: Callable[[int, int], list[int]], bins: int
+) -> dict[str, Column]:
+    """Each measure's bin of a row, from 1, by comparing it with the rows at the bins' last places.
 
-def _spread(ranked: DataFrame, score: Column, names: dict[str, str]) -> DataFrame:
-    """Back to one row per person, one score column per measure."""
-    return ranked.groupBy(PERSON).agg(
-        *[F.max(F.when(F.col("measure") == m, score)).alias(out) for m, out in names.items()]
-    )
-
-
-_SCORES = {"r": "rfm_r_score", "f": "rfm_f_score", "m": "rfm_m_score"}
+    Order is (value, person) with nulls first. Only the few cut rows are selected; no row is ranked or moved.
+    """
+    order = {m: c.cast("double") for m, c in measures.items()}
+    pairs = [F.struct(F.lit(m).alias("measure"), c.alias("value")) for m, c in order.items()]
+    stacked = features.select(PERSON, F.inline(F.array(*pairs)))
+    keys = lambda value: [value.isNotNull(), F.coalesce(value, F.lit(0.0)), F.col(PERSON)]
+    total = features.count()
+    sizes = {(m,): total for m in measures} if total else {}
+    wanted = {g: {r for r in ends(n, bins) if r} for g, n in sizes.items()}
+    cuts = selection.rows_at(stacked, keys(F.col("value")), wanted, sizes, ["measure"])
+    return {
+        m: sum(
+            (selection.above(cuts[(m,), r], keys(c)).cast("int") for r in ends(total, bins) if r and total), F.lit(1)
+        )
+        for m, c in order.items()
+    }
 
 
 def rfm_ntile(features: DataFrame, bins: int = 4) -> DataFrame:
     """NTILE scores: recency from the longest to the shortest, frequency and money upwards, ties by person."""
-    ranked = _stacked_ranks(
+    scores = _scores(
         features,
         {"r": -F.col("recency_days"), "f": F.col("purchase_frequency"), "m": F.col("total_spend")},
+        selection.ntile_ends, bins,
     )
-    return _spread(ranked, ntile(F.col("rank"), F.col("group_size"), bins), _SCORES)
+    return features.select(PERSON, *[scores[m].alias(f"rfm_{m}_score") for m in "rfm"])
 
 
 def rfm_qcut(features: DataFrame, bins: int = 4) -> DataFrame:
     """Quantile cut of first-come ranks, ties by person; recency counts down."""
-    ranked = _stacked_ranks(
+    up = _scores(
         features,
         {"r": F.col("recency_days"), "f": F.col("purchase_frequency"), "m": F.col("total_spend")},
+        selection.quantile_ends, bins,
+    )
+    return features.select(
+        PERSON, (bins + 1 - up["r"]).alias("rfm_r_score"), up["f"].alias("rfm_f_score"), up["m"].alias("rfm_m_score")
     )
-    up = rank_quantile_bin(F.col("rank"), F.col("group_size"), bins)
-    return _spread(ranked, F.when(F.col("measure") == "r", bins + 1 - up).otherwise(up), _SCORES)
 
 
 def segment_label() -> Column:
@@ -80,10 +92,7 @@ def rfm_distribution(segmented: DataFrame) -> DataFrame:
 def rfm_manual(features: DataFrame) -> DataFrame:
     """Summed quartile scores: recency by value edges, orders and money by first-come ranks."""
     edges = features.agg(F.percentile("recency_days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e")).scalar()
-    ranked = _stacked_ranks(features, {"f": F.col("total_orders"), "m": F.col("total_spend")})
-    fm = _spread(
-        ranked, rank_quantile_bin(F.col("rank"), F.col("group_size"), 4), {"f": "f_score", "m": "m_score"}
-    )
+    up = _scores(features, {"f": F.col("total_orders"), "m": F.col("total_spend")}, selection.quantile_ends, 4)
     days = F.col("recency_days")
     r = (
         F.when(days <= edges.getItem(0), 4)
@@ -97,8 +106,7 @@ def rfm_manual(features: DataFrame) -> DataFrame:
         .when(points >= 6, MANUAL_GENERAL).otherwise(MANUAL_LOST)
     )
     return (
-        features.select(PERSON, r.alias("r_score"))
-        .join(fm, PERSON)
+        features.select(PERSON, r.alias("r_score"), up["f"].alias("f_score"), up["m"].alias("m_score"))
         .withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
         .withColumn("rfm_segment", label)
     )
@@ -126,7 +134,7 @@ def segment_box(labelled: DataFrame, segment: str = "rfm_segment") -> DataFrame:
     """Box-plot numbers of each measure per segment with the segment's place by descending mean."""
     pairs = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in MEASURES]
     stacked = labelled.select(PERSON, segment, F.inline(F.array(*pairs)))
-    boxes = exact_quantiles(stacked, "value", BOX, within=["measure", segment], tie=[PERSON])
+    boxes = exact_quantiles(stacked, "value", BOX, within=["measure", segment])
     money = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("decimal(28,2)").alias("value")) for m in MEASURES]
     means = (
         labelled.select(segment, F.inline(F.array(*money)))
@@ -139,7 +147,7 @@ def segment_box(labelled: DataFrame, segment: str = "rfm_segment") -> DataFrame:
 def rfm_histogram(features: DataFrame, measure: str, bins: int = 50) -> DataFrame:
     """Equal-width counts of one measure with its exact median on every row."""
     data = features.select(PERSON, F.col(measure).cast("double").alias(measure))
-    middle = exact_quantiles(data, measure, {"median": 0.5}, tie=[PERSON]).scalar()
+    middle = exact_quantiles(data, measure, {"median": 0.5}).scalar()
     return equal_width_bins(data, measure, bins).select(
         F.lit(measure).alias("measure"), "bin", "lower_edge", "upper_edge", "n", middle.alias("median")
     )

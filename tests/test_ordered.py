@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartlens.operators.ordered import (
-    equal_width_bins, exact_quantiles, global_rank, ntile, rank_quantile_bin, running_totals,
+    equal_width_bins, exact_quantiles, global_rank, running_totals,
 )
+from cartlens.operators import selection
 
 
 def frame(spark, n, values, parts=7):
@@ -49,23 +50,47 @@ def test_running_totals(spark, partitions):
 
 
 @pytest.mark.parametrize("n", list(range(1, 14)) + [33, 50])
-def test_bins_of_ranks(spark, n):
-    df = spark.range(1, n + 1).select(F.col("id").alias("rank"), F.lit(n).cast("bigint").alias("n"))
-    got = df.select(
-        "rank", ntile(F.col("rank"), F.col("n"), 4).alias("t"), rank_quantile_bin(F.col("rank"), F.col("n"), 4).alias("q")
-    ).toPandas()
-    tiles = [t + 1 for t, part in enumerate(np.array_split(np.arange(n), 4)) for _ in part]
-    assert got["t"].tolist() == tiles
+def test_ends_of_bins(n):
+    tiles = [len(part) for part in np.array_split(np.arange(n), 4)]
+    assert selection.ntile_ends(n, 4) == np.cumsum(tiles)[:-1].tolist()
     if n >= 4:
-        cut = pd.qcut(pd.Series(range(1, n + 1)), 4, labels=[1, 2, 3, 4]).astype(int)
-        assert got["q"].tolist() == cut.tolist()
+        cut = pd.qcut(pd.Series(range(1, n + 1)), 4, labels=False)
+        assert selection.quantile_ends(n, 4) == [int((cut <= i).sum()) for i in range(3)]
+
+
+@pytest.mark.parametrize("key", ["bigint", "string"])
+@pytest.mark.parametrize("values", [1, 2, 100000])
+def test_selected_rows_are_those_of_the_sorted_frame(spark, monkeypatch, key, values):
+    """Small leaves and few pivots force several passes; one value may hold all rows, keys may repeat."""
+    monkeypatch.setattr(selection, "LEAF", 20)
+    monkeypatch.setattr(selection, "PIVOTS", 5)
+    rng = np.random.default_rng(values)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 3000, p=[0.9, 0.1]), "v": rng.integers(0, values, 3000) * 0.5,
+                        "k": rng.integers(0, 2000, 3000)})
+    pdf.loc[:700, ["v", "k"]] = [0.5, 7]  # one key held by a quarter of the rows
+    df = spark.createDataFrame(pdf).withColumn("k", F.col("k").cast(key)).repartition(5).cache()
+    rows = {g: sorted((r.v, r.k) for r in part) for g, part in
+            ((g, [r for r in df.collect() if r.g == g]) for g in "ab")}
+    sizes = selection.group_sizes(df, ["g"])
+    assert sizes == {(g,): len(x) for g, x in rows.items()}
+    wanted = {g: {1, n // 3, n // 2, n} for g, n in sizes.items()}
+    got = selection.rows_at(df, [F.col("v"), F.col("k")], wanted, sizes, ["g"])
+    assert got == {(g, r): rows[g[0]][r - 1] for g, places in wanted.items() for r in places}
+    df.unpersist()
+
+
+def test_selection_puts_nan_last_and_takes_missing_groups(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, float("nan")), ("x", 2.0), ("x", None)], "g string, v double")
+    got = {r["g"]: r["top"] for r in exact_quantiles(df, "v", {"top": 1.0}, within=["g"]).collect()}
+    assert np.isnan(got[None]) and got["x"] == 2.0
+    assert exact_quantiles(df.filter("false"), "v", {"top": 1.0}, within=["g"]).count() == 0
 
 
 def test_exact_quantiles(spark, partitions):
     partitions(6)
     pdf, df = frame(spark, 257, 40)
     df = df.withColumn("g", F.col("id") % 2)
-    got = exact_quantiles(df, "v", {"a": 0.0, "b": 0.25, "c": 0.6, "d": 1.0}, within=["g"], tie=["id"]).toPandas()
+    got = exact_quantiles(df, "v", {"a": 0.0, "b": 0.25, "c": 0.6, "d": 1.0}, within=["g"]).toPandas()
     for _, row in got.iterrows():
         want = np.quantile(pdf[pdf["id"] % 2 == row["g"]]["v"], [0, 0.25, 0.6, 1])
         assert np.allclose([row["a"], row["b"], row["c"], row["d"]], want)
