@@ -1,17 +1,16 @@
-"""Byte-level BPE encoding and decoding through distinct-word tables.
+"""Byte-level BPE encoding and decoding through a distinct-word table.
 
-Texts are split into words inside Spark tasks (the tokenizer's own splitting rule; no merge crosses a word). Each
-task counts its words; the counts of words that make up at least ``SHARE`` of a task's words are added up by word,
-and of these the words with at least that share of all words, at most 1 / SHARE of them whatever the input, are
-encoded once and broadcast as a table. Every other word is encoded once per batch into the batch's own distinct-word
-table. Ids are joined back to the texts by position: a text is a row of word numbers, and its ids are gathered from
-the table's flat id list. Decoding joins ids with the vocabulary's pieces (fixed size) in the same way.
-
-Joining the rare words by position in a shuffle instead would move every text and every rare position; see README.
+Texts are split once, inside Spark tasks (the tokenizer's own splitting rule; no merge crosses a word). A task numbers
+the distinct words of each batch of texts and writes, per text, its word numbers, and per batch, its distinct words.
+All batches' words then meet by word: each distinct word of the corpus is encoded once, and its ids go back to every
+(batch, number) that holds it. Last, each batch meets its ids and every text gathers them by its word numbers, that
+is by position. A word moves once per batch that holds it, however often it stands there, and no text is read again.
+Decoding joins ids with the vocabulary's pieces (fixed size) in the same way.
 
 Defined results: null and empty texts give no ids (hash of nothing). The text of a special token is that token, as
 in the tokenizers library by default. Rows are handled one by one, so repeated rows repeat; an empty table gives an
-empty one. Extra columns don't matter; where ``encode`` adds a column of an existing name, the new one replaces it.
+empty one. A text longer than a batch is a batch of its own. Extra columns don't matter; where ``encode`` adds a
+column of an existing name, the new one replaces it.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +30,9 @@ from pyspark.sql import types as T
 from cartlens.llm.registry import query, table
 from cartlens.session import written
 
-#: Words of at least this share of all words are in the broadcast table: at most 500,000.
-SHARE = 2e-6
-FLUSH_WORDS = 150_000
-BATCH_BYTES = 4_000_000
+#: Text of a batch, whose distinct words are moved once.
+BATCH_BYTES = 16_000_000
+PIECE_BYTES = 4_000_000
 
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,35 +46,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Codec:
-    """Splits texts, encodes single words, and turns ids into bytes. Made in each task from the tokenizer's JSON."""
+class Splitter:
+    """Cuts texts into words and special tokens. Made in each task from the tokenizer's settings without vocabulary."""
 
     def __init__(self, settings: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         parsed = json.loads(settings)
-        parsed["truncation"] = parsed["padding"] = None
-        specials = [t for t in parsed["added_tokens"]]
-        self.special = {t["content"]: t["id"] for t in specials}
+        self.special = {t["content"] for t in parsed["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
         self.unsettled = regex.compile(f"[^{SETTLED}]")
-        bare = parsed | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}
-        self.splitter = Tokenizer.from_str(json.dumps(bare)).pre_tokenizer  # without a second vocabulary
-        parsed["added_tokens"] = []
-        self.model = Tokenizer.from_str(json.dumps(parsed))
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        size = max([*parsed["model"]["vocab"].values(), *self.special.values()]) + 1
-        pieces = [b""] * size
-        back = byte_of_char()
-        for piece, i in [*parsed["model"]["vocab"].items(), *self.special.items()]:
-            try:
-                pieces[i] = bytes(back[c] for c in piece)
-            except KeyError:
-                pieces[i] = piece.encode()
-        self.pieces = np.frombuffer(b"".join(pieces), np.uint8)
-        self.piece_cuts = np.cumsum([0, *map(len, pieces)])
+        self.splitter = Tokenizer.from_str(json.dumps(parsed | {"added_tokens": []})).pre_tokenizer
 
     def split(self, text: str) -> list[str]:
         if self.cut is not None and any(s in text for s in self.special):
@@ -92,15 +73,54 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(text)]
         return self.words.findall(text)
 
+
+class Encoder:
+    """Ids of single words. Made in each task from the tokenizer's JSON."""
+
+    def __init__(self, settings: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        parsed = json.loads(settings)
+        parsed["truncation"] = parsed["padding"] = None
+        self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        parsed["added_tokens"] = []
+        self.model = Tokenizer.from_str(json.dumps(parsed))
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         plain = [w for w in words if w not in self.special]
         ids = iter(self.model.encode_batch_fast(plain, add_special_tokens=False)) if plain else iter(())
         return [[self.special[w]] if w in self.special else next(ids).ids for w in words]
 
+
+class Pieces:
+    """Bytes of every id: a table of the vocabulary's size, made once and broadcast."""
+
+    def __init__(self, settings: str):
+        parsed = json.loads(settings)
+        known = parsed["model"]["vocab"] | {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        pieces, back = [b""] * (max(known.values()) + 1), byte_of_char()
+        for piece, i in known.items():
+            plain = all(c in back for c in piece)
+            pieces[i] = bytes(back[c] for c in piece) if plain else piece.encode()
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.cuts = np.cumsum([0, *map(len, pieces)])
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; broken sequences become U+FFFD."""
-        raw = gathered(self.pieces, self.piece_cuts, ids).tobytes()
-        return raw.decode("utf-8", "replace").encode()
+        return gathered(self.flat, self.cuts, ids).tobytes().decode("utf-8", "replace").encode()
+
+
+def read_settings(path: str | None) -> str:
+    with open(path or tokenizer_path(), encoding="utf-8") as f:
+        return f.read()
+
+
+def bare_settings(settings: str) -> str:
+    """The tokenizer's settings without a vocabulary: enough to split."""
+    bare = {"truncation": None, "padding": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+    return json.dumps(json.loads(settings) | bare)
 
 
 def byte_of_char() -> dict[str, int]:
@@ -120,108 +140,147 @@ def gathered(flat: np.ndarray, cuts: np.ndarray, numbers: np.ndarray) -> np.ndar
     return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
 
 
-class WordTable:
-    """Distinct words with numbers, and their ids in one flat list."""
-
-    def __init__(self, codec: Codec, known: list[tuple[str, bytes]]):
-        self.codec = codec
-        self.known = {w: i for i, (w, _) in enumerate(known)}
-        ids = [np.frombuffer(b, "<u4") for _, b in known]
-        self.base_flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-        self.base_cuts = np.cumsum([0, *map(len, ids)])
-
-    def batch_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch of texts, and the cuts between texts."""
-        split = [self.codec.split(t) for t in texts]
-        rare = {}
-        for words in split:
-            for w in words:
-                if w not in self.known and w not in rare:
-                    rare[w] = len(self.known) + len(rare)
-        ids = self.codec.encode_words(list(rare))
-        flat = np.concatenate([self.base_flat, np.fromiter((i for x in ids for i in x), "<u4")])
-        cuts = np.concatenate([self.base_cuts, self.base_cuts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-        number = {**self.known, **rare} if len(rare) > len(self.known) else None
-        find = number.__getitem__ if number is not None else lambda w: self.known[w] if w in self.known else rare[w]
-        place = np.fromiter((find(w) for words in split for w in words), np.int64)
-        sizes = (cuts[1:] - cuts[:-1])[place] if len(place) else np.zeros(0, np.int64)
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        return gathered(flat, cuts, place), total[np.cumsum([0, *map(len, split)])]
-
-
-def batches_of(column: pa.Array):
-    """(first row, row behind the last) of at most BATCH_BYTES of text, or one row."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Word numbers as four planes of bytes: the high planes are nearly all zero, which any codec shrinks."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> DataFrame:
+    """Written: a row per text with its columns, _batch and _numbers, and a row per batch with _batch and _words."""
+    bare = docs.sparkSession.sparkContext.broadcast(bare_settings(settings))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_bpe_text"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        splitter = Splitter(bare.value)
+        first, made = TaskContext.get().partitionId() << 32, 0
+        number, parts, size = {}, [], 0
+
+        def of_batch():
+            mine = first + made
+            for columns, numbers in parts:
+                n = len(numbers)
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([mine] * n, pa.int64()), pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string()))],
+                    [*kept, "_batch", "_numbers", "_words"],
+                )
+            empty = [pa.nulls(1, c.type) for c in parts[0][0]]
+            yield pa.RecordBatch.from_arrays(
+                [*empty, pa.array([mine], pa.int64()), pa.nulls(1, pa.binary()), pa.array([list(number)], pa.list_(pa.string()))],
+                [*kept, "_batch", "_numbers", "_words"],
+            )
+
+        for batch in batches:
+            texts = batch.column(len(kept))
+            for a, b in batches_of(texts):
+                numbers = []
+                for t in texts.slice(a, b - a).to_pylist():
+                    words = splitter.split(t or "")
+                    numbers.append(packed(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))))
+                    size += len(t or "")
+                parts.append(([batch.column(i).slice(a, b - a) for i in range(len(kept))], numbers))
+                if size >= BATCH_BYTES:
+                    yield from of_batch()
+                    number, parts, size, made = {}, [], 0, made + 1
+        if parts:
+            yield from of_batch()
+
+    added = [T.StructField("_batch", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_words", T.ArrayType(T.StringType()))]
+    old = [T.StructField(c, docs.schema[c].dataType, True, docs.schema[c].metadata) for c in kept]
+    return written(rows.mapInArrow(run, T.StructType([*old, *added])), "bpe_split")
+
+
+def batches_of(column: pa.Array, most: int = PIECE_BYTES):
+    """(first row, row behind the last) of at most ``most`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     total, at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(total, total[at] + BATCH_BYTES, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
         yield at, to
         at = to
 
 
-def frequent_words(docs: DataFrame, text: str, settings, share: float = SHARE) -> list[tuple[str, bytes]]:
-    """The words of at least ``share`` of all words (as far as tasks saw them above it) with their ids, each encoded once."""
+def word_ids(split: DataFrame, settings: str) -> DataFrame:
+    """_batch, _places, _sizes, _ids: ids of some words of a batch; each distinct word of the corpus is encoded once.
 
-    def count(batches):
-        codec, found, total, whole = Codec(settings.value), Counter(), 0, 0
+    The rows of a word are neighbours after the sort, so a run of any length is served by one encoding.
+    """
+    full = split.sparkSession.sparkContext.broadcast(settings)
+    words = split.filter("_words is not null").select("_batch", F.posexplode("_words").alias("_place", "_word"))
 
-        def frequent():
-            rows = [(w, n) for w, n in found.items() if n >= share * total]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for a, b in batches_of(batch.column(0)):
-                for t in batch.column(0).slice(a, b - a).to_pylist():
-                    words = codec.split(t or "")
-                    found.update(words)
-                    total += len(words)
-                if len(found) > FLUSH_WORDS:
-                    yield frequent()
-                    whole, total, found = whole + total, 0, Counter()
-        yield frequent()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([whole + total], pa.int64())], ["word", "n"])
-
-    def encode(batches):
-        codec = Codec(settings.value)
+    def run(batches):
+        encoder, last, last_ids = Encoder(full.value), None, None
         for batch in batches:
-            ids = [np.array(x, "<u4").tobytes() for x in codec.encode_words(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    seen = written(docs.select(text).mapInArrow(count, "word string, n long"), "word_counts")
-    total = seen.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    counts = seen.filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.filter(F.col("n") >= share * total).select("word")
-    return [(r["word"], bytes(r["ids"])) for r in rows.mapInArrow(encode, "word string, ids binary").collect()]
-
-
-def codec_tables(docs: DataFrame, text: str, path: str | None):
-    spark = docs.sparkSession
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        settings = spark.sparkContext.broadcast(f.read())
-    return settings, spark.sparkContext.broadcast(frequent_words(docs, text, settings))
+            if not batch.num_rows:
+                continue
+            coded = batch.column(2).dictionary_encode()  # in order of appearance, so sorted
+            distinct = coded.dictionary.to_pylist()
+            begun = distinct[0] == last
+            ids = ([last_ids] if begun else []) + encoder.encode_words(distinct[1:] if begun else distinct)
+            last, last_ids = distinct[-1], ids[-1]
+            flat = np.fromiter((i for x in ids for i in x), "<u4")
+            cuts = np.cumsum([0, *map(len, ids)])
+            of = batch.column(0).to_numpy()
+            order = np.argsort(of, kind="stable")
+            of, word = of[order], coded.indices.to_numpy()[order]
+            place = batch.column(1).to_numpy()[order].astype("<u4")
+            sizes = (cuts[1:] - cuts[:-1])[word].astype("<u4")
+            out = gathered(flat, cuts, word)
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            ends, to = [*starts[1:].tolist(), len(of)], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            runs = list(zip(starts.tolist(), ends))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(of[starts]), pa.array([packed(place[a:b]) for a, b in runs], pa.binary()),
+                    pa.array([packed(sizes[a:b]) for a, b in runs], pa.binary()),
+                    pa.array([packed(out[to[a]:to[b]]) for a, b in runs], pa.binary()),
+                ],
+                ["_batch", "_places", "_sizes", "_ids"],
+            )
+
+    met = words.repartition("_word").sortWithinPartitions("_word")
+    return met.mapInArrow(run, "_batch long, _places binary, _sizes binary, _ids binary")
 
 
 def encoded(docs: DataFrame, make, fields: list[tuple[str, T.DataType]], text: str = "text", path: str | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Rows with added columns: ``make(codec, ids, cuts)`` gives their arrays for a batch of texts."""
-    settings, known = codec_tables(docs, text, path)
+    """Rows with added columns: ``make(pieces, ids, cuts)`` gives their arrays for a batch of texts."""
+    settings, spark = read_settings(path), docs.sparkSession
+    pieces = spark.sparkContext.broadcast(Pieces(settings))
     names = [n for n, _ in fields]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_bpe_text"))
-
-    def run(batches):
-        codec = Codec(settings.value)
-        words = WordTable(codec, known.value)
-        for batch in batches:
-            texts = batch.column(len(kept))
-            for a, b in batches_of(texts):
-                ids, cuts = words.batch_ids([t or "" for t in texts.slice(a, b - a).to_pylist()])
-                old = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*old, *make(codec, ids, cuts)], [*kept, *names])
-
-    return rows.mapInArrow(run, T.StructType([*[docs.schema[c] for c in kept], *[T.StructField(n, t) for n, t in fields]]))
-
-
-def id_lists(codec: Codec, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    plain = [f"_in{i}" for i in range(len(kept))]  # no name can clash
+    source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)], F.col(f"`{text}`").alias("_text"))
+    split = split_once(source, plain, "_text", settings)
+    schema = T.StructType([*[split.schema[p] for p in plain], *[T.StructField(f"_new{i}", t) for i, (_, t) in enumerate(fields)]])
+    target = [*plain, *[f"_new{i}" for i in range(len(fields))]]
+
+    def gather(rows: pa.Table, table: pa.Table) -> pa.Table:
+        joined = lambda name: np.concatenate([np.zeros(0, "<u4"), *[unpacked(x) for x in table.column(name).to_pylist()]])
+        place, sizes, flat = joined("_places"), joined("_sizes").astype(np.int64), joined("_ids")
+        # words arrive in any order: where each number's ids begin, and how many they are
+        start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        start[place], size[place] = np.cumsum(sizes) - sizes, sizes
+        out, ends, own = [np.zeros(0, "<u4")], [0], rows.column("_numbers").to_pylist()
+        for numbers in map(unpacked, own):
+            counts = size[numbers]
+            upto = np.cumsum(counts)
+            ends.append(ends[-1] + (int(upto[-1]) if len(upto) else 0))
+            if len(upto):
+                out.append(flat[np.repeat(start[numbers] - (upto - counts), counts) + np.arange(upto[-1])])
+        new = make(pieces.value, np.concatenate(out), np.array(ends))
+        return pa.Table.from_arrays([*[rows.column(p) for p in plain], *new], target)
+
+    texts = split.filter("_numbers is not null").drop("_words")
+    met = texts.groupBy("_batch").cogroup(word_ids(split, settings).groupBy("_batch"))
+    return met.applyInArrow(gather, schema).toDF(*kept, *names)
+
+
+def id_lists(pieces: Pieces, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.diff(cuts)), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32)))]
 
 
@@ -232,26 +291,24 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
 def decode(rows: DataFrame, ids: str = "token_ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """Adds the text of each id list: ids joined with the vocabulary's pieces. Null lists give null."""
-    with open(path or tokenizer_path(), encoding="utf-8") as f:
-        settings = rows.sparkSession.sparkContext.broadcast(f.read())
+    pieces = rows.sparkSession.sparkContext.broadcast(Pieces(read_settings(path)))
     kept = [c for c in rows.columns if c != out]
     source = rows.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("_bpe_ids"))
 
     def run(batches):
-        codec = Codec(settings.value)
         for batch in batches:
-            texts = [None if x is None else codec.decode(np.asarray(x, np.int64)).decode() for x in batch.column(len(kept)).to_pylist()]
+            texts = [None if x is None else pieces.value.decode(np.asarray(x, np.int64)).decode() for x in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], [*kept, out])
 
     return source.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T.StringType())]))
 
 
-def digests(codec: Codec, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+def digests(pieces: Pieces, ids: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
     own = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     return [
         pa.array(np.diff(cuts)),
         pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()),
-        pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in own], pa.string()),
+        pa.array([hashlib.sha256(pieces.decode(x)).hexdigest() for x in own], pa.string()),
     ]
 
 

@@ -50,3 +50,31 @@ def test_round_trip_and_broken_ids(spark, reference):
 
 def test_empty_table(spark):
     assert b.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_many_batches_are_encoded_once(spark, monkeypatch, tmp_path, reference):
+    """Batches of a few texts, sorted runs over several Arrow batches, columns named like the operator's own."""
+    monkeypatch.setattr(b, "BATCH_BYTES", 50)
+    monkeypatch.setattr(b, "PIECE_BYTES", 20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, t, "p") for i, t in enumerate(texts() * 2)]
+        df = spark.createDataFrame(rows, "_batch long, text string, _words string").repartition(3)
+        split = b.split_once(df.select("_batch", "text").toDF("id", "t"), ["id"], "t", b.read_settings(None))
+        assert split.filter("_words is not null").count() > 30
+        got = b.encode(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r._batch for r in got) == list(range(len(rows)))
+    for r in got:
+        assert r._words == "p" and r.text == rows[r._batch][1]
+        assert r.token_ids == reference.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_long_text_and_empty_query(spark, tmp_path, reference):
+    long = " ".join(f"w{i % 977} é" for i in range(150_000))
+    got = b.encode(spark.createDataFrame([(1, long)], "doc_id long, text string")).first()
+    assert got.token_ids == reference.encode(long, add_special_tokens=False).ids
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert b.op7_bpe(spark, str(tmp_path)).collect() == []
