@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
 Texts are split once, inside Spark tasks (the tokenizer's own splitting rule; no merge crosses a word). A task numbers
-the distinct words of each batch of texts and writes, per text, its word numbers, and per batch, its distinct words.
-All batches' words then meet by word: each distinct word of the corpus is encoded once, and its ids go back to every
-(batch, number) that holds it. Last, each batch meets its ids and every text gathers them by its word numbers, that
-is by position. A word moves once per batch that holds it, however often it stands there, and no text is read again.
+the distinct words of each batch of texts and writes a row per batch: the texts as word numbers, and the words. All
+batches' words then meet in hash buckets: each distinct word of the corpus is encoded once, and its ids go back to
+every (batch, number) that holds it. Last, each batch meets its ids and every text gathers them by its word numbers,
+that is by position. A word moves once per batch that holds it, however often it stands there, and no text is read again.
 Decoding joins ids with the vocabulary's pieces (fixed size) in the same way.
 
 Defined results: null and empty texts give no ids (hash of nothing). The text of a special token is that token, as
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from cartlens.session import written
 #: Text of a batch, whose distinct words are moved once.
 BATCH_BYTES = 16_000_000
 PIECE_BYTES = 4_000_000
+#: Words of all batches in one hash bucket, on average.
+BUCKET_WORDS = 200_000
 
 #: Fixed value: the splitting rule of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -140,17 +143,48 @@ def gathered(flat: np.ndarray, cuts: np.ndarray, numbers: np.ndarray) -> np.ndar
     return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
 
 
+def squeezed(raw: bytes) -> bytes:
+    return struct.pack("<Q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    size = struct.unpack_from("<Q", blob)[0]
+    return pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else b""
+
+
 def packed(numbers: np.ndarray) -> bytes:
-    """Word numbers as four planes of bytes: the high planes are nearly all zero, which any codec shrinks."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Numbers as four planes of bytes, compressed: the high planes are nearly all zero."""
+    return squeezed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(unsqueezed(planes), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
+def packed_words(words: list[str]) -> bytes:
+    coded = [w.encode() for w in words]
+    sizes = packed(np.fromiter(map(len, coded), np.uint32, len(coded)))
+    return struct.pack("<Q", len(sizes)) + sizes + squeezed(b"".join(coded))
+
+
+def unpacked_words(blob: bytes) -> list[str]:
+    cut = 8 + struct.unpack_from("<Q", blob)[0]
+    ends, raw = np.cumsum(unpacked(blob[8:cut])).tolist(), unsqueezed(blob[cut:])
+    return [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
+
+
+def packed_rows(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> DataFrame:
-    """Written: a row per text with its columns, _batch and _numbers, and a row per batch with _batch and _words."""
+    """Written, a row per batch of texts: _batch, _rows (the kept columns), _counts (words a text), _numbers, _words.
+
+    A batch's words are numbered by falling frequency, which keeps most numbers small.
+    """
     bare = docs.sparkSession.sparkContext.broadcast(bare_settings(settings))
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_bpe_text"))
 
@@ -159,40 +193,35 @@ def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> Da
 
         splitter = Splitter(bare.value)
         first, made = TaskContext.get().partitionId() << 32, 0
-        number, parts, size = {}, [], 0
+        number, parts, counts, found, size = {}, [], [], [], 0
 
         def of_batch():
-            mine = first + made
-            for columns, numbers in parts:
-                n = len(numbers)
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([mine] * n, pa.int64()), pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string()))],
-                    [*kept, "_batch", "_numbers", "_words"],
-                )
-            empty = [pa.nulls(1, c.type) for c in parts[0][0]]
-            yield pa.RecordBatch.from_arrays(
-                [*empty, pa.array([mine], pa.int64()), pa.nulls(1, pa.binary()), pa.array([list(number)], pa.list_(pa.string()))],
-                [*kept, "_batch", "_numbers", "_words"],
-            )
+            flat = np.concatenate([np.zeros(0, np.uint32), *found])
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            words = list(number)
+            held = packed_rows(pa.Table.from_batches(parts))
+            columns = [first + made], [held], [packed(np.array(counts))], [packed(rank[flat])], [packed_words([words[i] for i in order.tolist()])], [len(words)]
+            types = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_batch", "_rows", "_counts", "_numbers", "_words", "_many"])
 
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in batches_of(texts):
-                numbers = []
                 for t in texts.slice(a, b - a).to_pylist():
                     words = splitter.split(t or "")
-                    numbers.append(packed(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))))
+                    found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
+                    counts.append(len(words))
                     size += len(t or "")
-                parts.append(([batch.column(i).slice(a, b - a) for i in range(len(kept))], numbers))
+                parts.append(pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))], list(kept)))
                 if size >= BATCH_BYTES:
-                    yield from of_batch()
-                    number, parts, size, made = {}, [], 0, made + 1
+                    yield of_batch()
+                    number, parts, counts, found, size, made = {}, [], [], [], 0, made + 1
         if parts:
-            yield from of_batch()
+            yield of_batch()
 
-    added = [T.StructField("_batch", T.LongType()), T.StructField("_numbers", T.BinaryType()), T.StructField("_words", T.ArrayType(T.StringType()))]
-    old = [T.StructField(c, docs.schema[c].dataType, True, docs.schema[c].metadata) for c in kept]
-    return written(rows.mapInArrow(run, T.StructType([*old, *added])), "bpe_split")
+    return written(rows.mapInArrow(run, "_batch long, _rows binary, _counts binary, _numbers binary, _words binary, _many long"), "bpe_split")
 
 
 def batches_of(column: pa.Array, most: int = PIECE_BYTES):
@@ -208,42 +237,47 @@ def batches_of(column: pa.Array, most: int = PIECE_BYTES):
 def word_ids(split: DataFrame, settings: str) -> DataFrame:
     """_batch, _places, _sizes, _ids: ids of some words of a batch; each distinct word of the corpus is encoded once.
 
-    The rows of a word are neighbours after the sort, so a run of any length is served by one encoding.
+    Words meet in as many hash buckets as keep a bucket's distinct words to about BUCKET_WORDS; what a batch has in a
+    bucket is one row. A bucket's rows stream through its table of distinct words, so no word is a hot key.
     """
     full = split.sparkSession.sparkContext.broadcast(settings)
-    words = split.filter("_words is not null").select("_batch", F.posexplode("_words").alias("_place", "_word"))
+    many = max(8, -(-(split.agg(F.sum("_many")).first()[0] or 0) // BUCKET_WORDS))
+
+    def deal(batches):
+        from pandas.util import hash_array
+
+        for batch in batches:
+            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = unpacked_words(blob)
+                bucket = (hash_array(np.array(words, object), categorize=False) % np.uint64(many)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(words) else []
+                runs = [order[a:b] for a, b in zip(starts, [*starts[1:], len(order)])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[r[0]]) for r in runs], pa.int64()), pa.array([own] * len(runs), pa.int64()),
+                        pa.array([packed(r) for r in runs], pa.binary()), pa.array([packed_words([words[i] for i in r.tolist()]) for r in runs], pa.binary()),
+                    ],
+                    ["_bucket", "_batch", "_places", "_words"],
+                )
 
     def run(batches):
-        encoder, last, last_ids = Encoder(full.value), None, None
+        encoder, bucket, table = Encoder(full.value), None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(2).dictionary_encode()  # in order of appearance, so sorted
-            distinct = coded.dictionary.to_pylist()
-            begun = distinct[0] == last
-            ids = ([last_ids] if begun else []) + encoder.encode_words(distinct[1:] if begun else distinct)
-            last, last_ids = distinct[-1], ids[-1]
-            flat = np.fromiter((i for x in ids for i in x), "<u4")
-            cuts = np.cumsum([0, *map(len, ids)])
-            of = batch.column(0).to_numpy()
-            order = np.argsort(of, kind="stable")
-            of, word = of[order], coded.indices.to_numpy()[order]
-            place = batch.column(1).to_numpy()[order].astype("<u4")
-            sizes = (cuts[1:] - cuts[:-1])[word].astype("<u4")
-            out = gathered(flat, cuts, word)
-            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            ends, to = [*starts[1:].tolist(), len(of)], np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-            runs = list(zip(starts.tolist(), ends))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(of[starts]), pa.array([packed(place[a:b]) for a, b in runs], pa.binary()),
-                    pa.array([packed(sizes[a:b]) for a, b in runs], pa.binary()),
-                    pa.array([packed(out[to[a]:to[b]]) for a, b in runs], pa.binary()),
-                ],
-                ["_batch", "_places", "_sizes", "_ids"],
-            )
-
-    met = words.repartition("_word").sortWithinPartitions("_word")
+            for at, own, places, blob in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if at != bucket:
+                    bucket, table = at, {}
+                words = unpacked_words(blob)
+                new = [w for w in words if w not in table]
+                table.update(zip(new, (np.array(x, "<u4").tobytes() for x in encoder.encode_words(new))))
+                ids = [table[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+                row = [own], [places], [packed(sizes)], [packed(np.frombuffer(b"".join(ids), "<u4"))]
+                types = pa.int64(), pa.binary(), pa.binary(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], ["_batch", "_places", "_sizes", "_ids"])
+
+    dealt = split.select("_batch", "_words").mapInArrow(deal, "_bucket long, _batch long, _places binary, _words binary")
+    met = dealt.repartition("_bucket").sortWithinPartitions("_bucket")
     return met.mapInArrow(run, "_batch long, _places binary, _sizes binary, _ids binary")
 
 
@@ -256,27 +290,31 @@ def encoded(docs: DataFrame, make, fields: list[tuple[str, T.DataType]], text: s
     plain = [f"_in{i}" for i in range(len(kept))]  # no name can clash
     source = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(kept, plain)], F.col(f"`{text}`").alias("_text"))
     split = split_once(source, plain, "_text", settings)
-    schema = T.StructType([*[split.schema[p] for p in plain], *[T.StructField(f"_new{i}", t) for i, (_, t) in enumerate(fields)]])
+    schema = T.StructType([*[T.StructField(p, docs.schema[c].dataType) for c, p in zip(kept, plain)], *[T.StructField(f"_new{i}", t) for i, (_, t) in enumerate(fields)]])
     target = [*plain, *[f"_new{i}" for i in range(len(fields))]]
 
     def gather(rows: pa.Table, table: pa.Table) -> pa.Table:
-        joined = lambda name: np.concatenate([np.zeros(0, "<u4"), *[unpacked(x) for x in table.column(name).to_pylist()]])
+        def joined(name):
+            return np.concatenate([np.zeros(0, "<u4"), *[unpacked(x) for x in table.column(name).to_pylist()]])
+
         place, sizes, flat = joined("_places"), joined("_sizes").astype(np.int64), joined("_ids")
         # words arrive in any order: where each number's ids begin, and how many they are
         start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         start[place], size[place] = np.cumsum(sizes) - sizes, sizes
-        out, ends, own = [np.zeros(0, "<u4")], [0], rows.column("_numbers").to_pylist()
-        for numbers in map(unpacked, own):
-            counts = size[numbers]
-            upto = np.cumsum(counts)
+        held, counts, numbers = (rows.column(c)[0].as_py() for c in ("_rows", "_counts", "_numbers"))
+        own = np.split(unpacked(numbers), np.cumsum(unpacked(counts).astype(np.int64))[:-1])
+        out, ends = [np.zeros(0, "<u4")], [0]
+        for mine in own:
+            each = size[mine]
+            upto = np.cumsum(each)
             ends.append(ends[-1] + (int(upto[-1]) if len(upto) else 0))
             if len(upto):
-                out.append(flat[np.repeat(start[numbers] - (upto - counts), counts) + np.arange(upto[-1])])
+                out.append(flat[np.repeat(start[mine] - (upto - each), each) + np.arange(upto[-1])])
         new = make(pieces.value, np.concatenate(out), np.array(ends))
-        return pa.Table.from_arrays([*[rows.column(p) for p in plain], *new], target)
+        old = pa.ipc.open_stream(held).read_all()
+        return pa.Table.from_arrays([*[old.column(p) for p in plain], *new], target)
 
-    texts = split.filter("_numbers is not null").drop("_words")
-    met = texts.groupBy("_batch").cogroup(word_ids(split, settings).groupBy("_batch"))
+    met = split.drop("_words", "_many").groupBy("_batch").cogroup(word_ids(split, settings).groupBy("_batch"))
     return met.applyInArrow(gather, schema).toDF(*kept, *names)
 
 
