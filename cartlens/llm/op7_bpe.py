@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
 Texts are split once, inside Spark tasks (the tokenizer's own splitting rule; no merge crosses a word). A task numbers
-the distinct words of each batch of texts and writes a row per batch: the texts as word numbers, and the words. All
+the distinct words of each batch of texts and writes the texts as word numbers to a file, the words to a table. All
 batches' words then meet in hash buckets: each distinct word of the corpus is encoded once, and its ids go back to
 every (batch, number) that holds it. Last, each batch meets its ids and every text gathers them by its word numbers,
 that is by position. A word moves once per batch that holds it, however often it stands there, and no text is read again.
@@ -19,17 +19,19 @@ import hashlib
 import json
 import os
 import struct
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlens.llm.registry import query, table
-from cartlens.session import written
+from cartlens.session import scratch_path, written
 
 #: Text of a batch, whose distinct words are moved once.
 BATCH_BYTES = 16_000_000
@@ -181,10 +183,13 @@ def packed_rows(rows: pa.Table) -> bytes:
 
 
 def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> DataFrame:
-    """Written, a row per batch of texts: _batch, _rows (the kept columns), _counts (words a text), _numbers, _words.
+    """Written, a row per batch of texts: _batch, _file, _offset, _lengths, _words, _many.
 
-    A batch's words are numbered by falling frequency, which keeps most numbers small.
+    The kept columns, the words a text has and the word numbers lie in a file of the task in the shared folder, so that
+    they need not move to meet their ids. Rows name the file of the attempt that wrote them. A batch's words are
+    numbered by falling frequency, which keeps most numbers small.
     """
+    folder = scratch_path(docs.sparkSession, "bpe_batches")
     bare = docs.sparkSession.sparkContext.broadcast(bare_settings(settings))
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_bpe_text"))
 
@@ -192,6 +197,9 @@ def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> Da
         from pyspark import TaskContext
 
         splitter = Splitter(bare.value)
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name, out, at = f"{uuid.uuid4().hex}.batches", None, 0
         first, made = TaskContext.get().partitionId() << 32, 0
         number, parts, counts, found, size = {}, [], [], [], 0
 
@@ -201,27 +209,46 @@ def split_once(docs: DataFrame, kept: list[str], text: str, settings: str) -> Da
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             words = list(number)
-            held = packed_rows(pa.Table.from_batches(parts))
-            columns = [first + made], [held], [packed(np.array(counts))], [packed(rank[flat])], [packed_words([words[i] for i in order.tolist()])], [len(words)]
-            types = pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_batch", "_rows", "_counts", "_numbers", "_words", "_many"])
-
-        for batch in batches:
-            texts = batch.column(len(kept))
-            for a, b in batches_of(texts):
-                for t in texts.slice(a, b - a).to_pylist():
-                    words = splitter.split(t or "")
-                    found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
-                    counts.append(len(words))
-                    size += len(t or "")
-                parts.append(pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))], list(kept)))
-                if size >= BATCH_BYTES:
-                    yield of_batch()
-                    number, parts, counts, found, size, made = {}, [], [], [], 0, made + 1
-        if parts:
-            yield of_batch()
-
-    return written(rows.mapInArrow(run, "_batch long, _rows binary, _counts binary, _numbers binary, _words binary, _many long"), "bpe_split")
+            held = [packed_rows(pa.Table.from_batches(parts)), packed(np.array(counts)), packed(rank[flat])]
+            for blob in held:
+                out.write(blob)
+            columns = [first + made], [name], [at], [list(map(len, held))], [packed_words([words[i] for i in order.tolist()])], [len(words)]
+            types = pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_batch", "_file", "_offset", "_lengths", "_words", "_many"])
+
+        try:
+            for batch in batches:
+                texts = batch.column(len(kept))
+                for a, b in batches_of(texts):
+                    for t in texts.slice(a, b - a).to_pylist():
+                        words = splitter.split(t or "")
+                        found.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words)))
+                        counts.append(len(words))
+                        size += len(t or "")
+                    parts.append(pa.RecordBatch.from_arrays([batch.column(i).slice(a, b - a) for i in range(len(kept))], list(kept)))
+                    out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+                    if size >= BATCH_BYTES:
+                        done = of_batch()
+                        at, made = at + sum(done.column(3)[0].as_py()), made + 1
+                        number, parts, counts, found, size = {}, [], [], [], 0
+                        yield done
+            if parts:
+                yield of_batch()
+        finally:
+            if out is not None:
+                out.close()
+
+    split = rows.mapInArrow(run, "_batch long, _file string, _offset long, _lengths array<long>, _words binary, _many long")
+    return written(split, "bpe_split").withColumn("_file", F.concat(F.lit(f"{folder}/"), "_file"))
+
+
+def stored(file: str, offset: int, lengths: list[int]) -> list[bytes]:
+    """What ``split_once`` put at a place of a file."""
+    store, path = fs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as source:
+        raw = source.read_at(sum(lengths), offset)
+    ends = np.cumsum(lengths).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def batches_of(column: pa.Array, most: int = PIECE_BYTES):
@@ -301,7 +328,7 @@ def encoded(docs: DataFrame, make, fields: list[tuple[str, T.DataType]], text: s
         # words arrive in any order: where each number's ids begin, and how many they are
         start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         start[place], size[place] = np.cumsum(sizes) - sizes, sizes
-        held, counts, numbers = (rows.column(c)[0].as_py() for c in ("_rows", "_counts", "_numbers"))
+        held, counts, numbers = stored(*[rows.column(c)[0].as_py() for c in ("_file", "_offset", "_lengths")])
         own = np.split(unpacked(numbers), np.cumsum(unpacked(counts).astype(np.int64))[:-1])
         out, ends = [np.zeros(0, "<u4")], [0]
         for mine in own:
