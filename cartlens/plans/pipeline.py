@@ -2,6 +2,10 @@
 
 Each step reads tables, writes new ones and never writes over what it reads. A step run alone takes
 the tables of the steps before it from the output folder.
+
+A step's outputs count once its row in ``<out>/_steps`` says done: the row says waiting before the step writes and is
+written anew when all of its outputs are there. A resumed run skips the finished steps at the front that ran with the
+same settings and source, and runs everything from the first unfinished one on.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from cartlens.config import FRAME, SQL, Thresholds, check_dialect
 from cartlens.operators import churn, churn_model, clean, effect, features, keywords, kpi, matching, recode, reviews, rfm
@@ -26,6 +31,8 @@ log = logging.getLogger("cartlens")
 # comment texts may hold line breaks, which keeps a file of them in one piece
 _MULTILINE = {"order_reviews"}
 
+_STEP_ROW = "step string, state string, settings string"
+
 
 class FolderSource:
     """The nine tables as ``<folder>/<table>`` Parquet or ``<folder>/<table>.csv``."""
@@ -50,10 +57,13 @@ class Job:
 
     def __init__(
         self, spark: SparkSession, source, out: str, settings: Thresholds = Thresholds(), dialect: str = SQL,
-        trees: int = 200,
+        trees: int = 200, steps: tuple[str, ...] = STEPS,
     ):
         self.spark, self.source, self.out = spark, source, out.rstrip("/")
         self.cfg, self.dialect, self.trees = settings, check_dialect(dialect), trees
+        if unknown := set(steps) - set(self.STEPS):
+            raise ValueError(f"unknown steps: {sorted(unknown)}")
+        self.steps = tuple(n for n in self.STEPS if n in steps)
 
     def stored(self, name: str) -> DataFrame:
         return tables.read_parquet(self.spark, f"{self.out}/{name}")
@@ -65,13 +75,41 @@ class Job:
     def report(self, name: str, df: DataFrame) -> None:
         tables.write_csv(df, f"{self.out}/reports/{name}")
 
-    def run(self, step: str = "all") -> None:
-        begin = time.time()
-        for name in self.STEPS if step == "all" else (step,):
+    def _settings(self) -> str:
+        cfg = self.cfg.with_(margin_rates=dict(sorted(self.cfg.margin_rates.items())))
+        return f"{type(self.source).__name__} {self.source.folder} {self.dialect} {self.trees} {cfg}"
+
+    def _mark(self, step: str, state: str) -> None:
+        row = self.spark.createDataFrame([(step, state, self._settings())], _STEP_ROW)
+        tables.write_json(row.coalesce(1), f"{self.out}/_steps/{step}")
+
+    def finished(self, step: str) -> bool:
+        """All outputs of the step are there, made with these settings from this source."""
+        try:
+            rows = self.spark.read.schema(_STEP_ROW).json(f"{self.out}/_steps/{step}").collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return [(r["state"], r["settings"]) for r in rows] == [("done", self._settings())]
+
+    def run(self, step: str = "all", resume: bool = False) -> list[str]:
+        """Runs one step or all of them; gives the names of those that ran."""
+        begin, names = time.time(), list(self.steps) if step == "all" else [step]
+        while resume and names and self.finished(names[0]):
+            log.info("step %s: done before", names.pop(0))
+        # later outputs rest on the earlier ones, so none of them counts any more
+        rest = self.STEPS[self.STEPS.index(names[0]):] if names and names[0] in self.STEPS else names
+        for name in rest:
+            if name in names or self.finished(name):
+                self._mark(name, "waiting")
+        for name in names:
             start = time.time()
             getattr(self, f"step_{name}")()
+            self._mark(name, "done")
             log.info("step %s: %.1f s", name, time.time() - start)
         log.info("done: %.1f s", time.time() - begin)
+        return names
 
     def step_conform(self) -> None:
         known = {n: self.source.table(n) for n in SCHEMAS}
@@ -229,6 +267,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--dialect", default=SQL, choices=(SQL, FRAME))
     parser.add_argument("--cutoff", help="last day of the data, yyyy-mm-dd")
     parser.add_argument("--trees", type=int, default=200)
+    parser.add_argument("--resume", action="store_true", help="skip the finished steps of an earlier run")
     args = parser.parse_args(argv)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     cfg = Thresholds()
@@ -236,6 +275,7 @@ def main(argv: list[str] | None = None) -> None:
         cfg = cfg.with_(cutoff_date=args.cutoff or CUTOFF)
     spark = build_session()
     try:
-        Job(spark, open_source(spark, args.source, args.format), args.out, cfg, args.dialect, args.trees).run(args.step)
+        job = Job(spark, open_source(spark, args.source, args.format), args.out, cfg, args.dialect, args.trees)
+        job.run(args.step, args.resume)
     finally:
         spark.stop()

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartlens import fixed_values as fv
+from cartlens.config import Thresholds
 from cartlens.operators import explore, keywords, kpi, recode, reviews
 from cartlens.plans import oracle as o
-from cartlens.plans.registry import BRAND, MODEL, REVIEWS, cleaned, on, query, _hist_sql
+from cartlens.plans.pipeline import Job
+from cartlens.plans.registry import BRAND, FEATURES, MODEL, REVIEWS, cleaned, on, query, _hist_sql
 from cartlens.session import scratch_path
 from cartlens.sources import tables
-from cartlens.sources.adapter import MARGINS, PAYMENT_CODES
+from cartlens.sources.adapter import CUTOFF, MARGINS, PAYMENT_CODES
 
 SALES, SALES_FAN = o.sales_tables(False), o.sales_tables(True)
 
@@ -556,3 +558,18 @@ def _(s):
     """All tables that have a key; repeated places are what geolocation is made of."""
     parts = [tables.key_check(s.table(n), n) for n in _KEYED_TABLES]
     return reduce(DataFrame.unionByName, parts)
+
+
+# --- the job --------------------------------------------------------------------------------
+
+@query("pipeline_run", on(FEATURES, """SELECT customer_unique_id, f.total_orders, CAST(total_spend AS DOUBLE) AS total_spend, rfm_segment, is_churned
+  FROM features f JOIN segments USING (customer_unique_id) JOIN labels_ USING (customer_unique_id)"""))
+def _(s):
+    """The job's first three steps over a fresh folder, then resumed: the finished steps are not run again."""
+    steps = ("clean", "feature", "churn")
+    job = Job(s.spark, s, scratch_path(s.spark, "job"), Thresholds(cutoff_date=CUTOFF), steps=steps)
+    job.run()
+    if job.run(resume=True):
+        raise RuntimeError("finished steps were run again")
+    people = job.stored("user_features_labelled")
+    return people.select("customer_unique_id", "total_orders", F.col("total_spend").cast("double").alias("total_spend"), "rfm_segment", "is_churned")
