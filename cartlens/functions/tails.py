@@ -50,3 +50,35 @@ def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
         return float("nan") if pd.isna(s) or k < 1 else _upper_gamma(k / 2.0, s / 2.0)
 
     return pd.Series([one(s, k) for s, k in zip(stat, dof)], dtype="float64")
+
+
+#: Up to this many values on one side, and without ties, the rank sum's own distribution is used.
+SMALL_SIDE = 8
+
+
+def rank_sum_counts(m: int, n: int) -> list[int]:
+    """Orders of m + n different values by the number of pairs (one of m above one of n), from 0 to m * n pairs.
+
+    The generating function is a product over i of (1 - x^(n + i)) / (1 - x^i), taken in one factor at a time.
+    """
+    m, n = min(m, n), max(m, n)
+    counts = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            counts[u] -= counts[u - n - i]
+        for u in range(i, m * n + 1):
+            counts[u] += counts[u - i]
+    return counts
+
+
+@F.pandas_udf(DoubleType())
+def rank_sum_tail(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+    """P(U >= u): exact for a small side without ties, else by the normal deviate z."""
+
+    def one(at: float, m: float, n: float, tied: float, deviate: float) -> float:
+        if min(m, n) > SMALL_SIDE or tied:
+            return float("nan") if pd.isna(deviate) else 0.5 * math.erfc(deviate / math.sqrt(2.0))
+        counts = rank_sum_counts(int(m), int(n))
+        return sum(counts[math.ceil(at):]) / sum(counts)
+
+    return pd.Series([one(*row) for row in zip(u, n1, n2, ties, z)], dtype="float64")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.functions.scalars import elapsed_days, flag, not_blank, plain_ratio
-from cartlens.functions.tails import chi2_tail, normal_tail
+from cartlens.functions.tails import chi2_tail, rank_sum_tail
 
 _SUM = "decimal(28,2)"
 LOW, HIGH, MID = "low", "high", "mid"
@@ -178,7 +178,8 @@ def review_chi2(rows: DataFrame, top: int = 20) -> DataFrame:
 def review_mwu(rows: DataFrame) -> DataFrame:
     """Mann-Whitney U of delivery days, low above high, from the histogram of whole days.
 
-    Mid-ranks follow from running counts over the different day values; no rows are ranked.
+    Mid-ranks follow from running counts over the different day values; no rows are ranked. The p-value is exact where
+    a side has at most eight values and none are tied; z stays the normal deviate.
     """
     n = lambda g: F.sum(F.when(F.col("score_group") == g, F.col("w")).otherwise(0))
     hist = (
@@ -202,7 +203,7 @@ def review_mwu(rows: DataFrame) -> DataFrame:
     z = (u - n1 * n2 / 2 - 0.5) / F.nullif(spread, F.lit(0.0))
     return one.select(
         n1.cast("bigint").alias("n_low"), n2.cast("bigint").alias("n_high"), u.alias("u"), z.alias("z"),
-        normal_tail(z).alias("p_value"),
+        rank_sum_tail(u, n1, n2, F.col("ties"), z).alias("p_value"),
     )
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartlens import fixed_values as fv
-from cartlens.functions.tails import chi2_tail, normal_tail
+from cartlens.functions.tails import chi2_tail, normal_tail, rank_sum_counts
 from cartlens.operators import explore, keywords, recode, reviews
 from cartlens.sources import tables
 
@@ -48,6 +49,25 @@ def test_rank_sum_counts_pairs(spark):
     assert (got.n_low, got.n_high, got.u) == (len(low), len(high), u)
 
 
+@pytest.mark.parametrize("m, n", [(1, 1), (1, 9), (3, 4), (5, 2), (4, 4)])
+def test_rank_sum_distribution_is_that_of_all_orders(m, n):
+    want = [0] * (m * n + 1)
+    for places in itertools.combinations(range(m + n), m):
+        want[sum(p - i for i, p in enumerate(places))] += 1
+    assert rank_sum_counts(m, n) == want
+
+
+def test_small_rank_sums_are_exact_unless_tied(spark):
+    days = {1: [3, 9, 11], 5: [1, 2, 4, 8]}
+    rows = [(i, s, d, 1, None) for i, (s, d) in enumerate((s, d) for s, ds in days.items() for d in ds)]
+    got = reviews.review_mwu(reviews.review_lines(*review_frames(spark, rows))).first()
+    orders = list(itertools.combinations(range(7), 3))
+    above = [sum(p - i for i, p in enumerate(places)) >= got.u for places in orders]
+    assert got.u == 10 and got.p_value == pytest.approx(sum(above) / len(orders), rel=1e-15)
+    tied = reviews.review_mwu(reviews.review_lines(*review_frames(spark, [*rows, (9, 5, 9, 1, None)]))).first()
+    assert tied.p_value == pytest.approx(0.5 * math.erfc(tied.z / math.sqrt(2)), rel=1e-12)
+
+
 def test_unknown_score_is_in_the_middle(spark):
     df = spark.createDataFrame([(None,), (1,), (3,), (4,)], "s int")
     assert [r[0] for r in df.select(reviews.score_group(F.col("s"))).collect()] == ["mid", "low", "mid", "high"]
