@@ -165,6 +165,10 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Code points of a block, and spans of a run, in rebuilding a text.
+BLOCK, RUN = 512, 256
+
+
 def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, share: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:
     """The rows with every span replaced by its kind in brackets; disclosing terms by a class, or by nothing."""
     names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
@@ -174,16 +178,37 @@ def sanitised(docs: DataFrame, text: str = "text", generalise: bool = True, shar
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
     old = F.col(f"`{text}`")
 
-    def put(a: Column, s: Column) -> Column:
-        here = F.substr(old, s["start"] + 1, s["end"] - s["start"])
-        term = F.when(here.rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")) if generalise else F.lit("")
-        mark = F.when(s["k"] < 4, F.get(marks, s["k"])).otherwise(term)
-        # a span that starts inside the last one only lengthens what is left out
-        fresh = s["start"] >= a["at"]
-        gap = F.when(fresh, F.concat(F.substr(old, a["at"] + 1, s["start"] - a["at"]), mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
-
-    built = F.aggregate(all_spans(), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda a: F.concat(a["out"], F.substr(old, a["at"] + 1, F.length(old))))
+    def rebuilt(blocks: Column, spans: Column, length: Column) -> Column:
+        """Pieces between spans and marks, joined once; time goes with the length of the text and the number of spans."""
+
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+            near = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+            return F.when(b > a, F.substr(near, a - first * BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+        def put(state: Column, s: Column) -> Column:
+            here = piece(s["start"], s["end"])
+            term = F.when(here.rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")) if generalise else F.lit("")
+            mark = F.when(s["k"] < 4, F.get(marks, s["k"])).otherwise(term)
+            # a span that starts inside the last one only lengthens what is left out
+            fresh = F.when(s["start"] >= state["at"], F.concat(piece(state["at"], s["start"]), mark)).otherwise(F.lit(""))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(fresh)).alias("out"))
+
+        def put_some(state: Column, i: Column) -> Column:
+            """A run of spans: a list that grows one by one is copied each time, so it is kept short."""
+            begin = F.struct(state["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+            some = F.aggregate(F.slice(spans, i * RUN + 1, RUN), begin, put)
+            return F.transform(F.array(some), lambda x: F.struct(
+                x["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(x["out"], ""))).alias("out")))[0]
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / RUN).cast("int"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(runs, begin, put_some, lambda a: F.concat(F.array_join(a["out"], ""), piece(a["at"], length)))
+
+    # blocks and spans are bound to a lambda's variable, so they are made once a text and not once a span
+    blocks = F.regexp_extract_all(old, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    whole = F.array(F.struct(blocks.alias("blocks"), all_spans().alias("spans"), F.length(old).alias("length")))
+    built = F.transform(whole, lambda x: rebuilt(x["blocks"], x["spans"], x["length"]))[0]
     new = F.when(F.size(all_spans()) == 0, old).otherwise(built)
     return rows.join(terms, "_pii_row", "left").select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]).toDF(*names)
 

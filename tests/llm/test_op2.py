@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 
 from cartlens.llm import op2_pii as p
@@ -106,3 +107,16 @@ def test_telling_terms_are_marked_wherever_they_stand(spark, tmp_path):
         assert terms == {m.span() for m in re.finditer("lighthouse", t.lower())}
     new = {r.doc_id: r.text for r in p.sanitised(df).collect()}
     assert new[6] == "the [WORD] stands alone" and new[0] == f"mail [EMAIL]{far} [WORD]{far} [WORD] end" and new[7] == rows[7]
+
+
+def test_many_spans_in_one_long_text(spark):
+    """Texts of many blocks and runs, with code points beyond the first plane; time does not go with the square."""
+    rnd = random.Random(8)
+    gaps = ["x" * rnd.randrange(0, 9) + "\U0001d4b3é\n" * rnd.randrange(1, 5) + " " for _ in range(16_000)]
+    text = "".join(f"{g}a{i}@b.c " for i, g in enumerate(gaps))
+    wide = "é\U0001d4b3" * 5000 + " +1 (234) 567-8901 " + "y" * 3000
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in p.sanitised(spark.createDataFrame([(1, text), (2, wide), (3, "a@b.c")], "doc_id long, text string")).collect()}
+    assert got[1] == "".join(g + "[EMAIL] " for g in gaps) and got[3] == "[EMAIL]"
+    assert got[2] == wide.replace("+1 (234) 567-8901", "[PHONE]")
+    assert time.monotonic() - began < 60
