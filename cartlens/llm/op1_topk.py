@@ -11,9 +11,10 @@ over its components, and the score is the sum over nodes.
    node did not collect them) are resolved exactly; the k best of each block meet for the final ranking.
 
 Size: equal vectors are scored once; of each vector only the k + 1 smallest ids can ever be returned, so copies
-beyond them are left out by an exact, salted ranking. Vectors and queries are packed in blocks of bounded size;
-query blocks meet vector blocks by an equi-join on the block number (the stated query set against all rows, in blocks). What is
-ranked per query is at most k entries per block, in groups that window ranking limits before the shuffle.
+beyond them are left out by an exact, salted ranking. Vectors and queries are packed in blocks of bounded size; each
+vector block meets each party of ``PARTY`` query blocks in a group of its own (the stated query set against all rows, in blocks),
+so what reaches Python at once is bounded and no pair of blocks is ever a row. What is ranked per query is at most k entries
+per block, in groups that window ranking limits before the shuffle.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part. Shorter vectors count as
 filled up with zeros; an empty one scores 0 with all. Rows with a null id take no part. Rows that repeat id and vector
@@ -37,6 +38,8 @@ PARTS = 2
 LIST_DEPTH = 5  # a node lists so many times k entries in the first phase
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
+PARTY = 16  # query blocks that meet a vector block in one group
+MOST_TASKS = 2000
 SALTS = 64
 
 
@@ -118,74 +121,82 @@ def top_k(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: in
     asked = written(vectors.join(askers.select("v").distinct(), "v", "left_semi").withColumn("q", F.monotonically_increasing_id()), "asked")
     blocks, n_blocks = packed(vectors, VECTOR_BLOCK, "vector_blocks")
 
-    def ask_blocks(extra: DataFrame | None):
-        """Query blocks, a copy for each vector block."""
+    n_asks = max(1, -(-asked.count() // QUERY_BLOCK))
+    parties = -(-n_asks // PARTY)
+    tasks = min(n_blocks * parties, MOST_TASKS)
+    copies = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    def ask_blocks(extra: DataFrame | None) -> DataFrame:
         own = asked if extra is None else asked.join(extra, "q", "left")
         own = own.withColumn("cutoff", F.col("cutoff") if extra is not None else F.lit(None).cast("long"))
-        n = max(1, -(-asked.count() // QUERY_BLOCK))
-        return own.withColumn("ask", F.pmod(F.xxhash64("q"), F.lit(n))).groupBy("ask").agg(
+        return own.withColumn("ask", F.pmod(F.xxhash64("q"), F.lit(n_asks))).groupBy("ask").agg(
             F.collect_list(F.struct("v", F.array("q").alias("ids"), "cutoff")).alias("questions")
-        ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def met(extra: DataFrame | None) -> DataFrame:
-        return ask_blocks(extra).join(blocks, "block").select("questions", "items")
-
-    def read(batch, r):
-        questions, items = batch.column(0)[r], batch.column(1)[r]
-        q, ids = matrix(questions, width)
-        x, members = matrix(items, width)
-        return np.array([i[0] for i in ids]), q, x, members, questions.values.field("cutoff")
-
-    def gather(batches):
-        for batch in batches:
-            for r in range(len(batch)):
-                asks, q, x, _, _ = read(batch, r)
-                nodes = node_scores(q, x)
-                total = sum(nodes)
-                listed = np.zeros(total.shape, bool)
-                for local in nodes:
-                    np.put_along_axis(listed, highest(local, LIST_DEPTH * k), True, axis=1)
-                # the query's own vector may hold the query alone, so it can't vouch for the cutoff
-                low = np.iinfo(np.int64).min
-                sums = np.where(listed & ~own_vector(q, x), total, low)
-                best = np.take_along_axis(sums, highest(sums, k), axis=1)
-                at, col = np.nonzero(best > low)
-                yield pa.RecordBatch.from_arrays([pa.array(asks[at]), pa.array(best[at, col])], ["q", "score"])
-
-    listed = met(None).mapInArrow(gather, "q long, score long")
+        ).withColumn("party", F.floor(F.col("ask") / F.lit(PARTY)))
+
+    def met(extra: DataFrame | None, search, schema: str) -> DataFrame:
+        """``search`` on every party of query blocks and every vector block."""
+        meeting = ["block", "party"]
+        left = ask_blocks(extra).withColumn("block", copies(n_blocks)).select(*meeting, "questions")
+        right = blocks.withColumn("party", copies(parties)).select(*meeting, "items")
+        left, right = (side.repartition(tasks, *meeting).groupBy(*meeting) for side in (left, right))
+        return left.cogroup(right).applyInArrow(search, schema)
+
+    def read(party: pa.Table, block: pa.Table):
+        for items in block.column("items"):
+            x, members = matrix(items, width)
+            for questions in party.column("questions"):
+                q, ids = matrix(questions, width)
+                yield np.array([i[0] for i in ids]), q, x, members, questions.values.field("cutoff")
+
+    def gather(party: pa.Table, block: pa.Table) -> pa.Table:
+        out_q, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for asks, q, x, _, _ in read(party, block):
+            nodes = node_scores(q, x)
+            total = sum(nodes)
+            listed = np.zeros(total.shape, bool)
+            for local in nodes:
+                np.put_along_axis(listed, highest(local, LIST_DEPTH * k), True, axis=1)
+            # the query's own vector may hold the query alone, so it can't vouch for the cutoff
+            low = np.iinfo(np.int64).min
+            sums = np.where(listed & ~own_vector(q, x), total, low)
+            best = np.take_along_axis(sums, highest(sums, k), axis=1)
+            at, col = np.nonzero(best > low)
+            out_q.append(asks[at])
+            out_s.append(best[at, col])
+        return pa.table({"q": np.concatenate(out_q), "score": np.concatenate(out_s)})
+
+    listed = met(None, gather, "q long, score long")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
     cutoff = listed.withColumn("_place", place).filter(F.col("_place") <= k).groupBy("q").agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).alias("cutoff")
     )
     cutoff = written(cutoff, "cutoffs")
 
-    def resolve(batches):
+    def resolve(party: pa.Table, block: pa.Table) -> pa.Table:
         low = np.iinfo(np.int64).min
-        for batch in batches:
-            for r in range(len(batch)):
-                asks, q, x, members, bar = read(batch, r)
-                none = bar.is_null().to_numpy(zero_copy_only=False)
-                t = bar.fill_null(0).to_numpy(zero_copy_only=False).astype(float)[:, None]
-                t = (t - 1.0 - np.abs(t) * 1e-12) / PARTS  # rounding may lower the cutoff, never raise it
-                nodes = node_scores(q, x)
-                collected = [(local >= t) | none[:, None] for local in nodes]
-                hope = sum(np.where(c, local, t) for c, local in zip(collected, nodes))
-                open_ = np.logical_or.reduce(collected) & ((hope >= t * PARTS) | none[:, None])
-                total = np.where(open_, sum(nodes), low)
-                out_q, out_v, out_s = [], [], []
-                for i in range(len(asks)):
-                    some = np.flatnonzero(open_[i])
-                    score = total[i, some]
-                    if len(some) > k + 1:
-                        # equal scores at the end all stay: their ids decide
-                        some = some[score >= np.partition(score, -(k + 1))[-(k + 1)]]
-                    found = sorted((-int(total[i, c]), m) for c in some for m in members[c])[: k + 1]
-                    out_q += [asks[i]] * len(found)
-                    out_s += [-s for s, _ in found]
-                    out_v += [m for _, m in found]
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], ["q", "vec_id", "score"])
-
-    found = met(cutoff).mapInArrow(resolve, "q long, vec_id long, score long")
+        out_q, out_v, out_s = [], [], []
+        for asks, q, x, members, bar in read(party, block):
+            none = bar.is_null().to_numpy(zero_copy_only=False)
+            t = bar.fill_null(0).to_numpy(zero_copy_only=False).astype(float)[:, None]
+            t = (t - 1.0 - np.abs(t) * 1e-12) / PARTS  # rounding may lower the cutoff, never raise it
+            nodes = node_scores(q, x)
+            collected = [(local >= t) | none[:, None] for local in nodes]
+            hope = sum(np.where(c, local, t) for c, local in zip(collected, nodes))
+            open_ = np.logical_or.reduce(collected) & ((hope >= t * PARTS) | none[:, None])
+            total = np.where(open_, sum(nodes), low)
+            for i in range(len(asks)):
+                some = np.flatnonzero(open_[i])
+                score = total[i, some]
+                if len(some) > k + 1:
+                    # equal scores at the end all stay: their ids decide
+                    some = some[score >= np.partition(score, -(k + 1))[-(k + 1)]]
+                found = sorted((-int(total[i, c]), m) for c in some for m in members[c])[: k + 1]
+                out_q += [asks[i]] * len(found)
+                out_s += [-s for s, _ in found]
+                out_v += [m for _, m in found]
+        return pa.table({name: pa.array(values, pa.int64()) for name, values in (("q", out_q), ("vec_id", out_v), ("score", out_s))})
+
+    found = met(cutoff, resolve, "q long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     found = found.withColumn("place", place).filter(F.col("place") <= k + 1)
     lists = found.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("found"))

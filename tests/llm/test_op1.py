@@ -56,3 +56,21 @@ def test_same_as_sql(spark, data_dir):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{data_dir}/embeddings.parquet')")
     assert sorted(map(tuple, t.op1_topk(spark, data_dir).collect())) == sorted(con.execute(ORACLES["op1_topk"]).fetchall())
+
+
+def test_blocks_meet_in_bounded_groups(spark, monkeypatch):
+    for name, size in (("VECTOR_BLOCK", 60), ("QUERY_BLOCK", 2), ("PARTY", 3)):
+        monkeypatch.setattr(t, name, size, raising=False)
+    rows = vectors(300)
+    plans = []
+    real = t.written
+
+    def kept(df, name="table"):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(t, "written", kept)
+    got = t.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
+    # a batch of rows that hold a pair of blocks each has no bound in bytes
+    assert not any("MapInArrow" in p.replace("FlatMapCoGroupsInArrow", "") for p in plans)
