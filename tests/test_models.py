@@ -216,3 +216,33 @@ def test_saved_model_codes_raw_rows(spark, tmp_path):
     assert got == pytest.approx(want, abs=1e-12)
     other = loaded.transform(raw.withColumn("kind", F.lit("new"))).select("kind").distinct().collect()
     assert [r["kind"] for r in other] == [3.0]
+
+
+def test_clusters_of_all_restarts_improve_together(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(300, 2)), columns=["x", "y"])
+    v = cl.as_vectors(spark.createDataFrame(pdf), ["x", "y"]).coalesce(1).cache()
+    passes = []
+    real = cl.round_sums
+    monkeypatch.setattr(cl, "round_sums", lambda points, sets: passes.append(len(sets)) or real(points, sets), raising=False)
+    models = cl.kmeans_scan(v, [2, 3], restarts=2)
+    alone = {k: [KMeans(k=k, seed=42 + i, maxIter=300, tol=1e-4).fit(v) for i in range(2)] for k in (2, 3)}
+    assert passes[0] == 4 and len(passes) <= max(m.summary.numIter for fits in alone.values() for m in fits)
+    for k, fits in alone.items():
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        assert models[k].cost == pytest.approx(best.summary.trainingCost)
+        assert np.allclose(models[k].centers, np.array(best.clusterCenters()))
+        mine = [r["prediction"] for r in models[k].transform(v).select("prediction").collect()]
+        assert mine == [r["prediction"] for r in best.transform(v).select("prediction").collect()]
+
+
+def test_fits_run_on_few_partitions(spark, monkeypatch):
+    pdf = pd.DataFrame({"x": np.arange(60) % 7 * 1.0, "is_churned": (np.arange(60) % 2) * 1.0})
+    rows = spark.createDataFrame(pdf).repartition(12)
+    seen = []
+    fit = m.Pipeline.fit
+    monkeypatch.setattr(m.Pipeline, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    m.fit_learner(m.learners()[0], rows, ["x"])
+    assert seen == [1]
