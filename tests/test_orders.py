@@ -269,3 +269,18 @@ def test_sales_of_a_hot_order(spark, fanout):
     lines = kpi.sales_lines(o, d_items, d_prods, d_pays, {"k1": 0.5}, fanout=fanout)
     got = kpi.kpi_monthly_margin(lines).toPandas().set_index("month").sort_index()
     assert np.allclose(got["gmv"], want.sort_index())
+
+
+def test_payments_are_read_once_and_only_if_asked_for(spark, data_dir):
+    from cartlens.plans.registry import wide_features
+    from cartlens.sources.adapter import StarSource
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("l_returnflag" in line and "Aggregate" in line for line in plan.splitlines())
+
+    source = StarSource(spark, data_dir)
+    every = scans(source.order_payments.select("order_id", "payment_type"))
+    whole = scans(wide_features(source))
+    assert 0 < whole <= every + 2  # the source's own aggregation, then per order and per person
+    assert scans(wide_features(source, columns=("recency_days", "avg_review_score"))) == 0
