@@ -13,7 +13,8 @@ that share an anchor form one region. Then, for all regions of the corpus:
    common prefixes give those of all pairs of the group, the same search to the left gives the rest of the extension, and
    a pair of regions shares the windows between. Every extension that marks bytes is verified on the bytes themselves.
 3. Groups of more than ``GROUP`` distinct regions (a passage in very many surroundings) are settled without holding them
-   in one place: their windows become rows, counted by anchor run, place and window hash.
+   in one place: their windows become rows, counted by anchor run, place and content hash; first tiles of 64 windows, then only
+   where a tile is neither wholly repeated nor without a partner smaller ones, down to single windows.
 
 Texts are named by a 64-bit hash, window contents by two (run and region). Marks come back to the texts that
 are neither clean nor wholly repeated; only those are read again.
@@ -25,6 +26,7 @@ Texts shorter than LENGTH are kept. Repeated rows are copies of each other. An e
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ LENGTH = 200
 GRAM = 32
 SPAN = LENGTH - GRAM + 1  # places of a run in a window
 GROUP = 64
+#: Windows of a tile in groups of more than GROUP: all of a region's, then fewer, at last one.
+TILES = (256, 64, 8, 1)
 PLACE_BITS = np.uint64(28)
 
 
@@ -228,34 +232,68 @@ def small_groups(rows: DataFrame) -> DataFrame:
 
 
 def large_groups(rows: DataFrame) -> DataFrame:
-    """t, low, high: repeated windows among the regions of larger groups, counted as rows.
+    """t, low, high: repeated bytes among the regions of larger groups, by tiles of windows instead of single ones.
 
-    Every distinct region is there once, so a window of two rows is in two places.
+    Every distinct region is there once, so equal windows of two rows are in two places. Windows are told apart by how far
+    before the anchor they start; a tile is a range of these distances. Where a region's part of a tile is there twice, all
+    its windows are repeated, and one copy of it stays to be compared with. Where the bytes that all windows of a tile share
+    are followed and preceded by one content only, no other window can be repeated. The rest is cut into smaller tiles.
     """
-    rows = written(rows.select("g", "t", "p", "bytes"), "large_regions")
+    rows = written(rows.select("g", "t", "p", "bytes", (F.col("n") == 1).alias("open")), "large_regions")
+    own = F.array(F.struct(F.lit(0).alias("tile"), F.col("open")))
+    state, found, size = rows.withColumn("own", own), [], TILES[0]
+    for smaller in TILES[1:]:
+        if state.isEmpty():
+            break
+        tiles = written(tiled(state, size, smaller), "tiles")
+        classes = tiles.groupBy("k", "core", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p", "tile", "open")).alias("rep"))
+        classes = written(classes, "tile_classes")
+        twice = classes.filter("n > 1").select("k", "core", "c")
+        found.append(tiles.filter("open").join(twice, ["k", "core", "c"], "left_semi").select("t", "low", "high"))
+        mixed = classes.groupBy("k", "core").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("k", "core")
+        left = classes.join(mixed, ["k", "core"], "left_semi").select("rep.t", "rep.p", "rep.tile", (F.col("rep.open") & (F.col("n") == 1)).alias("open"))
+        left = left.groupBy("t", "p").agg(F.collect_list(F.struct("tile", "open")).alias("own"))
+        if smaller != TILES[-1]:
+            state = written(rows.select("g", "t", "p", "bytes").join(left, ["t", "p"]), "open_regions")
+        size = smaller
+    none = rows.select("t", F.col("p").alias("low"), F.col("p").alias("high")).limit(0)
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def tiled(state: DataFrame, size: int, smaller: int) -> DataFrame:
+    """The tiles of ``smaller`` windows in the regions' own tiles of ``size``.
+
+    k: group and tile, c: the bytes of the region's windows in it, core: the bytes that any window of the tile has, t, p, tile, open, low, high.
+    """
+    ways = size // smaller
 
-    def run(batches, places):
+    def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
                 raw, cut = _joined(part.column(3))
                 p = part.column(2).to_numpy()
-                more = p >> 8 & 255
-                windows = more + 1
-                which = np.repeat(np.arange(len(p)), windows)
-                place = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                start = cut[:-1][which] + place
-                h = range_hash(prefix_hash(raw), start, start + LENGTH).view(np.int64)
-                g = part.column(0).to_numpy()[which].view(np.uint64)
-                run_place = mix(g + ((p & 255)[which] - place).astype(np.uint64)).view(np.int64)
-                columns = [pa.array(h), pa.array(run_place)]
-                if places:
-                    columns += [pa.array(part.column(1).to_numpy()[which]), pa.array((p >> 16)[which] + place)]
-                yield pa.RecordBatch.from_arrays(columns, ["h", "o", "t", "low"][: len(columns)])
-
-    counts = rows.mapInArrow(lambda b: run(b, False), "h long, o long").groupBy("h", "o").agg(F.count(F.lit(1)).alias("c"))
-    single = rows.mapInArrow(lambda b: run(b, True), "h long, o long, t long, low long")
-    return single.join(counts.filter("c > 1").drop("c"), ["h", "o"]).select("t", "low", (F.col("low") + LENGTH).alias("high"))
+                lists = part.column(4)
+                many = np.diff(lists.offsets.to_numpy())
+                held = lists.flatten()
+                which = np.repeat(np.repeat(np.arange(len(p)), many), ways)
+                tile = (held.field("tile").to_numpy()[:, None] * ways + np.arange(ways)).ravel()
+                open_ = np.repeat(held.field("open").to_numpy(zero_copy_only=False), ways)
+                off, more = (p & 255)[which], (p >> 8 & 255)[which]
+                near, far = np.maximum(tile * smaller, off - more), np.minimum(tile * smaller + smaller - 1, off)
+                keep = near <= far
+                which, tile, open_, off, near, far = which[keep], tile[keep].astype(np.int64), open_[keep], off[keep], near[keep], far[keep]
+                anchor = cut[:-1][which] + off
+                prefix = prefix_hash(raw)
+                c = mix(range_hash(prefix, anchor - far, anchor - near + LENGTH) + mix(near.astype(np.uint64) + np.uint64(1)))
+                core = range_hash(prefix, anchor - tile * smaller, anchor - (tile * smaller + smaller - 1) + LENGTH)
+                k = mix(part.column(0).to_numpy()[which].view(np.uint64) + tile.astype(np.uint64))
+                low = (p >> 16)[which] + off
+                columns = [k.view(np.int64), core.view(np.int64), c.view(np.int64), part.column(1).to_numpy()[which], p[which], tile, open_, low - far, low - near + LENGTH]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "core", "c", "t", "p", "tile", "open", "low", "high"])
+
+    kinds = "k long, core long, c long, t long, p long, tile long, open boolean, low long, high long"
+    return state.select("g", "t", "p", "bytes", "own").mapInArrow(run, kinds)
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -71,3 +71,33 @@ def test_empty_and_long(spark):
     long = "".join(rnd.choice("abcdefgh ") for _ in range(2_500_000))
     r = s.digest_rows(spark.createDataFrame([(1, long + long[:1000])], "doc_id long, text string")).first()
     assert (r.n_removed, r.n_spans) == (2000, 2)
+
+
+def test_large_group_takes_few_rows(spark):
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = prose(700)
+    rows = [prose(300) + passage[rnd.randrange(40) :] + prose(300) for _ in range(150)]
+    rows += [prose(300) + passage[:350] + "#" + passage[351:] + prose(300), *["".join(p) for p in zip(["x" * 150] * 3, [passage[200:450]] * 3, "pqr")]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in s.digest_rows(df).collect()) == [(i, *b) for i, b in enumerate(brute(rows))]
+    regions = s.region_rows(s.named(df, "text")).groupBy("g").count().filter(f"count > {s.GROUP}")
+    assert regions.count() > 0
+    _, marked = s.repeated_bytes(s.named(df, "text"))
+    held = [len(r.marks) for r in marked.collect()]
+    # a run of windows is a few tiles: a row per window would give more than 500 a text
+    assert max(held) < 100
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tiles_of_close_groups(spark, seed):
+    """All regions of an anchor run share it, but differ at either end by little."""
+    rnd = random.Random(seed)
+    base = "".join(rnd.choice("ab ") for _ in range(420))
+    rows = []
+    for _ in range(120):
+        a, b = sorted(rnd.sample(range(420), 2))
+        rows.append(base[:a] + rnd.choice("ab ") + base[a + 1 : b] + rnd.choice("abz") + base[b + 1 : rnd.randrange(300, 420)])
+    rows += rows[:5]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in s.digest_rows(df).collect()) == [(i, *b) for i, b in enumerate(brute(rows))]
