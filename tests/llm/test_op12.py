@@ -132,3 +132,17 @@ def test_query_reads_the_whole_table(spark, data_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
     got = [r.asDict() for r in QUERIES["op12_packing"](spark, data_dir).collect()]
     check(got, dict(zip(docs, whole(docs.values()))), p.Limits())
+
+
+def test_word_ends_read_from_ids(monkeypatch):
+    with open(p.tokenizer_path(), encoding="utf-8") as f:
+        encoder = p.Encoder(f.read())
+    assert encoder.last is not None
+    words = ["a", "the", "</", "w", ">", "zzzxqj" * 9, "é", "数据", "🙂", "'s", "7", "w</w>", "!!!", "\x7f"]
+    fast = encoder.plain_ids(words)
+    one = [encoder.model.encode([w], is_pretokenized=True, add_special_tokens=False).ids for w in words]
+    assert fast[1].tolist() == [len(x) for x in one] and fast[0].tolist() == sum(one, [])
+    monkeypatch.setattr(encoder, "last", None)
+    slow = encoder.plain_ids(words)
+    assert fast[0].tolist() == slow[0].tolist() and fast[1].tolist() == slow[1].tolist()
+    assert [len(x) for x in encoder.plain_ids([])] == [0, 0]
