@@ -93,6 +93,19 @@ def test_keywords_weigh_lines_and_keep_outsiders(spark):
     assert groups == {"low": (3, 3), "high": (4, 2), "mid": (1, 1)}
 
 
+def test_review_words_take_tasks_by_text(spark, monkeypatch):
+    rows = [(i % 40 or None, "low" if i % 3 else "high", 1 + i % 2, f"word{'abc'[i % 3]} slow slow {'tail' * (i % 5)}") for i in range(200)]
+    rows += [(1, "low", 1, None), (2, "low", 1, "  ")]
+    df = spark.createDataFrame(rows, "review_id int, score_group string, w long, review_comment_message string")
+    want = {tuple(r) for r in keywords.review_tokens(df).groupBy("review_id", "score_group", "word").agg(F.sum("w")).collect()}
+    size = sum(len(r[3]) for r in rows[:200])
+    for tasks in (1, 25):
+        monkeypatch.setattr(keywords, "TASK_TEXT", -(-size // tasks))
+        got = keywords.review_words(df)
+        assert got.rdd.getNumPartitions() == tasks
+        assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+
+
 def test_shop_name_equals_whole_number_arithmetic(spark):
     ids = [f"s{i}" for i in range(300)]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id string").select(recode.shop_name(F.col("id"))).collect()]
