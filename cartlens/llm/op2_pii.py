@@ -111,7 +111,7 @@ def entity(span: Column) -> Column:
 
 def found_in(docs: DataFrame, text: str) -> DataFrame:
     """Written: the rows, their columns and _pii (base spans, perhaps none) and _pii_row."""
-    return written(docs.withColumn("_pii", base_spans(F.col(f"`{text}`"))).withColumn("_pii_row", F.monotonically_increasing_id()), "pii")
+    return written(docs.withColumn("_pii", base_spans(F.col(f"`{text}`"))).withColumn("_pii_row", F.monotonically_increasing_id()), "pii", compression="zstd")
 
 
 def disclosing(rows: DataFrame, text: str, share: float = DISCLOSURE, least: int = LEAST_DOCS) -> DataFrame:

@@ -293,7 +293,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **sett
     """
     names, docs = docs.columns, docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))])  # no name can clash
     key, text = f"_in{names.index(key)}", f"_in{names.index(text)}"
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered", compression="zstd")
     found = near_duplicates(rows, "_row", text, **settings).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
     first = found.join(rows.select("_row", key), "_row").groupBy("_component").agg(F.min(order).alias("first"))

@@ -1,8 +1,13 @@
+import glob
 import random
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
+from cartlens.llm import op2_pii, op3_minhash
+from cartlens.session import scratch_root
 from tests.llm.test_op2 import base
 from tests.llm.test_op3 import brute as near_brute
 from tests.llm.test_op6 import brute as quality_brute
@@ -56,3 +61,14 @@ def test_run_and_empty_table(spark, tmp_path):
     docs.filter("false").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() > 60
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.parametrize("make, name", [(op3_minhash.one_of_each, "numbered"), (op2_pii.sanitised, "pii")])
+def test_scratch_copies_of_texts_are_packed_tightly(spark, make, name):
+    """They stay beside the input for as long as the job runs."""
+    texts = [(i, f"{i} some words of a text that is long enough to be kept {i * 7} in whole") for i in range(30)]
+    copies = lambda: set(glob.glob(f"{scratch_root(spark)}/{name}-*/*.parquet"))
+    before = copies()
+    assert make(spark.createDataFrame(texts, "doc_id long, text string")).count() == 30
+    made = copies() - before
+    assert made and all(f.endswith(".zstd.parquet") for f in made)
