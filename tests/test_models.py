@@ -163,6 +163,40 @@ def test_visited_cells_stay_bounded_as_round_data_grows(spark, monkeypatch):
     assert sum(visits) < 20 * 2000
 
 
+def plain_best(x, ids, i, k):
+    far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+    return sorted((far[j], ids[j]) for j in range(len(x)) if ids[j] != ids[i])[:k]
+
+
+@pytest.mark.parametrize("kind", ["round", "long", "grid"])
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_few_points_of_a_cell_get_plain_differences(monkeypatch, kind, offset):
+    from cartlens.operators import neighbours as nb
+
+    pdf = points(11, 1500, kind)
+    x, ids = pdf[NAMES].to_numpy() + offset, pdf[P].to_numpy()[::-1].copy()
+    monkeypatch.setattr(nb, "_best_plainly", None)  # the product alone must rule out most
+    got = list(nb._best(x, ids, x, ids, 5))
+    for i in range(0, 1500, 50):
+        want = plain_best(x, ids, i, 5)
+        assert np.allclose([d for d, _ in got[i]], [d for d, _ in want], rtol=1e-12, atol=0)
+        if kind == "grid":  # of equally near ones the smaller keys
+            assert [j for _, j in got[i]] == [j for _, j in want]
+
+
+@pytest.mark.parametrize("odd", [1.0, np.nan, np.inf, 1e200])
+def test_copies_and_overflow_take_the_plain_way(odd):
+    from cartlens.operators import neighbours as nb
+
+    x, ids = np.ones((40, 3)), np.array([f"k{i:02d}" for i in range(40)], dtype=object)
+    x[:3] = odd
+    with np.errstate(all="ignore"):
+        got = list(nb._best(x[3:], ids[3:], x, ids, 4))
+    assert all(len(g) == 4 and {d for d, _ in g} == {0.0} for g in got)
+    assert all(ids[3 + i] not in [j for _, j in g] for i, g in enumerate(got))
+    assert [list(nb._best(x[:1], ids[:1], x[:1], ids[:1], 4))] == [[[]]]
+
+
 def test_metrics_of_all_groups_in_one_pass(spark):
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"model": rng.choice(["x", "y"], 600), "fold": rng.integers(0, 3, 600), m.TARGET: (rng.random(600) < 0.3).astype(float)})

@@ -284,3 +284,16 @@ def test_payments_are_read_once_and_only_if_asked_for(spark, data_dir):
     whole = scans(wide_features(source))
     assert 0 < whole <= every + 2  # the source's own aggregation, then per order and per person
     assert scans(wide_features(source, columns=("recency_days", "avg_review_score"))) == 0
+
+
+def test_lines_and_payments_of_other_orders_leave_before_they_are_summed(spark, data_dir):
+    from cartlens.plans import registry
+    from cartlens.sources.adapter import StarSource
+
+    s = StarSource(spark, data_dir)
+    plan = registry.wide_features(s)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for column in ("item_count", "installment_max"):
+        summed = min(i for i, line in enumerate(plan) if "Aggregate [order_id#" in line and f"AS {column}#" in line)
+        below = [line for i, line in enumerate(plan) if i > summed and all(deep(x) > deep(plan[summed]) for x in plan[summed + 1:i + 1])]
+        assert any("Join LeftSemi" in line for line in below)
