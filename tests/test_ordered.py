@@ -86,6 +86,28 @@ def test_selection_puts_nan_last_and_takes_missing_groups(spark):
     assert exact_quantiles(df.filter("false"), "v", {"top": 1.0}, within=["g"]).count() == 0
 
 
+@pytest.mark.parametrize("drawn", ["all", "some", "none"])
+def test_buckets_are_sought_not_compared_one_by_one(spark, drawn):
+    """The plan must not grow with the pivots: written out as a tree it was too large for generated code."""
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -2.5, -0.0, 1.0, 4.0, inf, nan]
+    keys = [(v, k) for v in values for k in ("a", "b")]
+    pivots = {"all": [keys[1::3], keys[::2]], "some": [keys[3:4], []], "none": [[], []]}[drawn]
+    df = spark.createDataFrame([(g, *k) for g in (0, 1) for k in keys], "g int, v double, k string")
+    opened = [selection._Open((g,), None, None, 0, len(keys)) for g in (0, 1)]
+    got = selection._numbered(df, opened, ["g"], [F.col("v"), F.col("k")], pivots)
+    order = [repr(k) for k in keys]
+    place = {repr(k): order.index(repr(k)) for k in keys}
+    for r in got.collect():
+        at = [place[repr(p)] for p in pivots[r["_at"]]]
+        mine = place[repr((r["_k0"], r["_k1"]))]
+        assert r["_bucket"] == 2 * sum(p < mine for p in at) + (mine in at)
+    many = [[(float(i), str(i)) for i in range(63)]] * 2
+    ends = [selection._Open((g,), (float(i), "a"), (i + 0.5, "b"), 0, 1) for g in (0, 1) for i in range(6)]
+    plan = selection._numbered(df, ends, ["g"], [F.col("v"), F.col("k")], many * 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 5 and plan.count(" AND ") < 20
+
+
 def test_exact_quantiles(spark, partitions):
     partitions(6)
     pdf, df = frame(spark, 257, 40)
